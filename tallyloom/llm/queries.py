@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontamination, quality, simhash, substring
+from tallyloom.llm import bpe, decontamination, htmltree, langid, quality, simhash, substring, tokencount, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; boundary-crossing tokens go to the line with most of their bytes."""
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its text without repeated sentence runs, and how many runs went."""
     done = substring.trimmed(table(spark, sf_dir, "documents"))
@@ -47,18 +62,48 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.identified(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Host and path rules of the URL query.
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's address; the trees learn from the addresses that a rule labels."""
+    return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
     "op9_simhash": op9_simhash,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {}
@@ -102,3 +147,17 @@ hit AS (SELECT doc_id, item_id, count(*) AS c FROM dg JOIN ig USING (gram) GROUP
 SELECT doc_id, item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_shared, c::DOUBLE / n AS containment
 FROM hit JOIN size USING (item_id) WHERE c >= 0.8::DOUBLE * n
 """
+
+SQL["op4_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex FROM p),
+s AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY hex) AS response
+  FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM s
+"""
