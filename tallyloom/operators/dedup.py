@@ -74,20 +74,20 @@ def evaluation_ledger(train: DataFrame, dev: DataFrame, test: DataFrame, seed: i
 
     Train content goes first (``train_overlap``), then in test the content of any dev row (``dev_overlap``), then
     all but the first by stable key of what is left (``internal_duplicate``); the rest is ``kept``.  Nothing is
-    refilled.  Presence by content is one aggregate over the three sets and one join.
+    refilled, and null content is never a duplicate.  Presence by content is one aggregate over the three sets and one join.
     """
-    tag = lambda df, s: df.select(F.col(hash_col).alias("h"), F.lit(s).alias("s"))
-    there = tag(train, "train").unionByName(tag(dev, "dev")).groupBy("h").agg(
+    tag = lambda df, s: df.select(F.col(hash_col).alias("__there"), F.lit(s).alias("s"))
+    there = tag(train, "train").unionByName(tag(dev, "dev")).groupBy("__there").agg(
         F.max((F.col("s") == "train").cast("int")).alias("in_train"), F.max((F.col("s") == "dev").cast("int")).alias("in_dev")
     )
     rows = dev.withColumn("split", F.lit("dev")).unionByName(test.withColumn("split", F.lit("test")))
-    joined = rows.join(there, rows[hash_col] == there["h"], "left").drop("h")
+    joined = rows.join(there, F.col(hash_col) == F.col("__there"), "left").drop("__there")
     early = F.when(F.col("in_train") == 1, "train_overlap").when((F.col("split") == "test") & (F.col("in_dev") == 1), "dev_overlap")
     joined = joined.withColumn("__early", early).drop("in_train", "in_dev")
     packed = F.concat_ws("\0", keys.row_key(seed, F.col(id_col)), F.col(id_col).cast("string"))
     first = joined.where("__early IS NULL").groupBy(F.col("split").alias("__s"), F.col(hash_col).alias("__h")).agg(F.min(packed).alias("__first"))
     out = joined.join(first, (F.col("split") == F.col("__s")) & (F.col(hash_col) == F.col("__h")), "left")
-    late = F.when(F.col("__first") == packed, "kept").otherwise("internal_duplicate")
+    late = F.when((F.col("__first") == packed) | F.col(hash_col).isNull(), "kept").otherwise("internal_duplicate")
     return out.withColumn("decision", F.coalesce("__early", late)).drop("__early", "__s", "__h", "__first")
 
 

@@ -139,7 +139,7 @@ def bootstrap_weights(df: DataFrame, cluster: str, n: int, seed: int) -> DataFra
 def poisson_weights(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
     """Like ``bootstrap_weights`` for any number of clusters: independent Poisson(1) counts from hashes, made in place."""
     names = df.select(F.col(cluster).cast("string").alias("cluster")).distinct()
-    rows = names.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    rows = names.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     u = F.pmod(F.xxhash64(F.lit(seed), "resample", "cluster"), F.lit(1 << 52)) / float(1 << 52)
     cuts, total, term = [], 0.0, float(np.exp(-1))
     for k in range(1, 18):

@@ -15,7 +15,7 @@ METADATA = ("file", "label", "utt_type")
 MANIFEST = ("manifest_version", "shard", "file", "speaker_id", "split", "binary_label", "utt_type", "native_sample_rate", "source_snapshot")
 LEDGER = ("file", "split", "speaker_id", "utt_type", "content_sha256", "decision")
 CHUNK_INDEX = ("file", "split", "speaker_id", "utt_type", "binary_label", "native_sample_rate", "offset_samples", "num_samples", "content_sha256", "waveform_sha256")
-CORRUPT = "_corrupt"
+SURPLUS = "_surplus"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -34,16 +34,16 @@ def read_text_table(spark: SparkSession, path: str, columns: Sequence[str], *, t
     names = [n.strip().strip('"') for n in found]
     if exact_header and names != list(columns) or not set(columns) <= set(names):
         raise ValueError(f"{path}: header {names}, expected {list(columns)}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
+    # with a null text that no file has, an absent field is null and an empty one is empty
     raw = (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", False).option("escape", '"').csv(path)
+        .option("nullValue", "\x00").option("escape", '"').csv(path)
     )
-    surplus = F.col(CORRUPT).isNotNull() & (F.size(F.split(F.col(CORRUPT), ",")) > len(names))
     value = (lambda c: F.coalesce(strip(F.col(c)), F.lit(""))) if trim else (lambda c: F.coalesce(F.col(c), F.lit("")))
-    rows = raw.select(*[value(c).alias(c) for c in columns], surplus.alias("__surplus"), F.col(CORRUPT).alias("__line"))
-    issues = rows.where("__surplus").select(F.lit("malformed").alias("code"), F.col("__line").alias("line"))
-    return rows.where("NOT __surplus").drop("__surplus", "__line"), issues
+    malformed = raw.where(F.col(SURPLUS).isNotNull())
+    issues = malformed.select(F.lit("malformed").alias("code"), F.concat_ws(",", *names, SURPLUS).alias("line"))
+    return raw.where(F.col(SURPLUS).isNull()).select(*[value(c).alias(c) for c in columns]), issues
 
 
 def read_strict(spark: SparkSession, path: str, columns: Sequence[str] = METADATA, **rules) -> DataFrame:
