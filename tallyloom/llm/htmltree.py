@@ -156,16 +156,13 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
                 if stack[k].tag in ends:
                     del stack[k:]
                     break
-        if tag not in INLINE:
-            yield "break", stack, ""
         top = stack[-1]
         if tag not in INLINE:
+            if tag not in RAW:
+                yield "break", stack, ""
             top.children.append(tag)
         if tag in VOID:
             continue
-        closed = found[3].endswith("/") and tag not in RAW and tag in ("svg", "path", "circle", "rect", "use")
-        if closed:
-            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -281,7 +278,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         joined = rows.join(F.broadcast(low), rows["__host"] == low["host"], "left")
     else:
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__url"), F.lit(SALTS)))
-        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = rows.join(low, (rows["__host"] == low["host"]) & (rows["__salt"] == low["salt"]), "left")
     udf = F.arrow_udf(_extracted, "string").asNondeterministic()
     done = joined.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), udf("__page", "low").alias("text"))
