@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-from tallyloom.plans import integrity, measures, samples, signals  # noqa: E402, F401  they register themselves
+from tallyloom.plans import checks, integrity, measures, samples, signals  # noqa: E402, F401  they register themselves
