@@ -80,7 +80,8 @@ def contamination(
     ids = broadcast_if_small(found.select(F.col("doc_id").alias("c")).distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["c"]), "left_semi")
-    held = texts.select("doc_id", F.explode(F.array_distinct(shingles(words(F.col("text")), _text))).alias("gram"))
+    # words are a column of their own: inside the shingles' lambda they would be split again for each shingle
+    held = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingles(F.col("w"), _text)).alias("gram"))
     # a pair with a shared shingle outside the candidates is below the threshold anyway
     shared = held.join(broadcast_if_small(grams.select("item_id", "gram", "n")), "gram").distinct()
     counted = shared.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared"))
