@@ -9,7 +9,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.functions.text import cleaned, first_part
 
@@ -183,8 +182,3 @@ def median_throughput(items: str, seconds: str) -> Column:
 def conservative_cost(seconds: str) -> Column:
     """Aggregate: the worst repeat."""
     return F.max(seconds)
-
-
-def integer_range(spark, n: int, name: str = "i") -> DataFrame:
-    """Rows 0 to n - 1."""
-    return spark.range(n).select(F.col("id").cast(T.LongType()).alias(name))
