@@ -13,6 +13,7 @@ from tallyloom.functions import keys, text
 from tallyloom.functions.hashing import set_digest
 from tallyloom.operators import dedup, joins, planning, sets, stats, validation
 from tallyloom.plans.registry import query, table
+from tallyloom.session import materialize
 
 SEED = 2026
 LANGS = ("en", "fr", "de", "es")
@@ -28,6 +29,13 @@ def split_of(df: DataFrame, col: str = "doc_id") -> DataFrame:
     return df.withColumn("split", F.when(r < 7, "train").when(r < 8, "dev").otherwise("test"))
 
 
+def hashed(spark, d) -> DataFrame:
+    """``(doc_id, lang, source, split, h)`` with the content hash, written once: texts are read and hashed a single time
+    however often a query looks at the rows."""
+    df = split_of(docs(spark, d)).select("doc_id", "lang", "source", "split", F.sha2("text", 256).alias("h"))
+    return materialize(df, "hashed")
+
+
 SPLIT_SQL = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END"
 
 
@@ -116,7 +124,7 @@ WITH h AS (SELECT doc_id, sha256(text) AS h, sha256('2026|' || doc_id::VARCHAR)
 r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY k, doc_id::VARCHAR) AS rep FROM h)
 SELECT doc_id, h AS content_sha256, rep::VARCHAR AS representative, doc_id = rep AS kept FROM r""")
 def content_representatives(spark, d):
-    df = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("content_sha256"))
+    df = hashed(spark, d).select("doc_id", F.col("h").alias("content_sha256"))
     return dedup.content_representatives(df, SEED, hash_col="content_sha256", id_col="doc_id")
 
 
@@ -126,8 +134,7 @@ g AS (SELECT h, count(*) AS rows, count(DISTINCT doc_id) AS ids, count(DISTINCT
   list_sort(list(DISTINCT doc_id))[1:5] AS ex FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1)
 SELECT h AS content, rows, ids, crosses_source, crosses_split, array_to_string(ex, ',') AS examples FROM g""")
 def duplicate_groups(spark, d):
-    df = split_of(docs(spark, d)).select("doc_id", "source", "split", F.sha2("text", 256).alias("h"))
-    out = dedup.duplicate_groups(df, hash_col="h", id_col="doc_id", crossing=["source", "split"])
+    out = dedup.duplicate_groups(hashed(spark, d), hash_col="h", id_col="doc_id", crossing=["source", "split"])
     return out.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
 
@@ -142,7 +149,7 @@ g AS (SELECT content FROM h GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
 SELECT content, count(DISTINCT doc_id) AS ids, min(split) <> max(split) AS crosses_splits
 FROM h JOIN g USING (content) WHERE doc_id % 3 <> 0 GROUP BY content HAVING count(DISTINCT doc_id) > 1""")
 def dup_groups_in_manifest(spark, d):
-    df = split_of(docs(spark, d)).select(F.col("doc_id").alias("id"), "split", F.sha2("text", 256).alias("content"))
+    df = hashed(spark, d).select(F.col("doc_id").alias("id"), "split", F.col("h").alias("content"))
     many = df.groupBy("content").agg(F.countDistinct("id").alias("n")).where("n > 1").select("content")
     groups = df.join(many, "content", "left_semi").select("content", "id")
     return dedup.groups_in_selection(groups, df.where("id % 3 <> 0").select("id", "split"), id_col="id", split_col="split")
@@ -156,8 +163,7 @@ WITH h AS (SELECT doc_id, sha256(text) AS hash, CASE {SPLIT_SQL} WHEN 'train' TH
 SELECT hash, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, count(DISTINCT doc_id) AS ids FROM h GROUP BY hash
 HAVING count(DISTINCT role) > 1 AND count(DISTINCT doc_id) > 1""")
 def cross_partition_content_leak(spark, d):
-    df = split_of(docs(spark, d)).select("doc_id", "split", F.sha2("text", 256).alias("h"))
-    out = sets.content_leaks(df, hash_col="h", id_col="doc_id", split_col="split", roles=ROLES)
+    out = sets.content_leaks(hashed(spark, d), hash_col="h", id_col="doc_id", split_col="split", roles=ROLES)
     return out.withColumn("roles", F.array_join("roles", ","))
 
 
@@ -268,7 +274,7 @@ l AS (SELECT doc_id, lang, content_sha256, split, coalesce(early, CASE WHEN row_
 
 
 def _ledger(spark, d) -> DataFrame:
-    df = split_of(docs(spark, d)).select("doc_id", "lang", F.sha2("text", 256).alias("content_sha256"), "split")
+    df = hashed(spark, d).select("doc_id", "lang", F.col("h").alias("content_sha256"), "split")
     train, dev, test = (df.where(F.col("split") == s).drop("split") for s in ("train", "dev", "test"))
     return dedup.evaluation_ledger(train, dev, test, SEED, hash_col="content_sha256", id_col="doc_id")
 

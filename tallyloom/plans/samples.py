@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys
 from tallyloom.operators import dedup, sampling, windows
-from tallyloom.plans.integrity import LANGS, SEED, SPLIT_SQL, docs, split_of
+from tallyloom.plans.integrity import LANGS, SEED, SPLIT_SQL, docs, hashed, split_of
 from tallyloom.plans.registry import query, table
 
 
@@ -70,8 +70,7 @@ kept AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY k, d
 
 
 def _eligible(spark, d):
-    df = split_of(docs(spark, d).where("doc_id % 3 <> 0")).select("doc_id", "split", "lang", F.sha2("text", 256).alias("h"))
-    return dedup.content_representatives(df, SEED, hash_col="h", id_col="doc_id").where("kept").select("doc_id", "split", "lang")
+    return dedup.content_representatives(hashed(spark, d).where("doc_id % 3 <> 0"), SEED, hash_col="h", id_col="doc_id").where("kept").select("doc_id", "split", "lang")
 
 
 @query("quota_sample_dedup", SAMPLE_SQL + """

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -25,3 +26,44 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     context._tallyloom_shipped = context.applicationId
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Only where the setting is absent (tests on one machine) the session gets a local folder of its own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        app = spark.sparkContext.applicationId
+        path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tallyloom-"))
+    return path.rstrip("/")
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyloom-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the application's folder in the shared folder."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that the application wrote to the shared folder; results not yet written elsewhere are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the written table.
+
+    Cuts the lineage: a lost executor costs a re-read of files, never a recomputation of all that
+    stands above.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
