@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import keys, text
 from tallyloom.functions.hashing import set_digest
 from tallyloom.operators import dedup, joins, planning, sets, stats, validation
+from tallyloom.operators.windows import top_per_group
 from tallyloom.plans.registry import query, table
 from tallyloom.session import materialize
 
@@ -335,9 +336,11 @@ def shard_need_plan(spark, d):
 
 
 @query("selection_digest", """
-SELECT lang, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS rows FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
+WITH k AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('2026|' || doc_id::VARCHAR), doc_id) <= 25)
+SELECT lang, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS rows FROM k GROUP BY lang""")
 def selection_digest(spark, d):
-    rows = table(spark, d, "labels").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    order = [keys.row_key(SEED, F.col("doc_id")), F.col("doc_id")]
+    rows = top_per_group(docs(spark, d).select("doc_id", "lang"), ["lang"], order, 25)
     return rows.groupBy("lang").agg(set_digest(F.col("doc_id")).alias("digest"), F.count("*").alias("rows"))
 
 

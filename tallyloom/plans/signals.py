@@ -104,13 +104,13 @@ def waveform_summary(spark, d):
 
 
 @query("mean_std_pool", f"""
-WITH x AS (SELECT label, {X} AS a FROM embeddings), e AS (SELECT label, unnest(a) AS v, unnest(range(64)) AS i FROM x)
-SELECT label, i::INT AS dim, round(avg(v), 6) AS mean, round(sqrt(var_pop(v) + 1e-8::DOUBLE), 6) AS std FROM e WHERE i < 8 GROUP BY label, i""")
+WITH x AS (SELECT vec_id, {X} AS a FROM embeddings), e AS (SELECT vec_id, unnest(a) AS v, unnest(range(64)) AS i FROM x)
+SELECT vec_id, (i % 8)::INT AS dim, round(avg(v), 6) AS mean, round(sqrt(var_pop(v) + 1e-8::DOUBLE), 6) AS std FROM e GROUP BY vec_id, i % 8""")
 def mean_std_pool(spark, d):
-    frames = arrays_of(spark, d).groupBy("label").agg(F.collect_list(F.transform("a", lambda x: x.cast("double"))).alias("f"))
-    pooled = frames.select("label", arrays.mean_std_pool(F.transform("f", lambda x: F.slice(x, 1, 8))).alias("p"))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.transform("a", lambda x: x.cast("double")), i * 8 + 1, 8))
+    pooled = arrays_of(spark, d).select("vec_id", frames.alias("f")).select("vec_id", arrays.mean_std_pool(F.col("f")).alias("p"))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("dim"), F.round(F.get("p", i), 6).alias("mean"), F.round(F.get("p", i + 8), 6).alias("std")))
-    return pooled.select("label", F.inline(pairs))
+    return pooled.select("vec_id", F.inline(pairs))
 
 
 @query("array_difference", """
