@@ -1,43 +1,19 @@
-"""Helpers shared by the corpus operators: shared-folder tables, checked broadcasts, components."""
+"""Helpers shared by the corpus operators: checked broadcasts, Arrow rows, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows of fixed width may be broadcast (about 10 MB of longs).
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a local folder is chosen and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from tallyloom.session import materialize, release, scratch_path, shared_dir
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}/{name}"
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "materialize", "release", "scratch_path", "shared_dir", "values"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table.
-
-    Cuts the lineage: a lost executor costs a re-read of files, never a recomputation of all that
-    stands above.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A side with at most this many rows of fixed width may be broadcast (about 10 MB of longs).
+BROADCAST_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,6 +24,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def values(*columns: pa.Array, size: int = 256) -> Iterator[tuple]:
+    """Rows of equally long Arrow arrays as Python values, a few at a time: a batch is never held twice."""
+    for i in range(0, len(columns[0]), size):
+        yield from zip(*(c.slice(i, size).to_pylist() for c in columns))
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 

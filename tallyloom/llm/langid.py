@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import values
+
 BUCKETS = 1 << 17
 ALPHA = 0.1
 PENALTY = 2.0
@@ -62,7 +64,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in values(batch.column(0), batch.column(1)):
             if lang not in held and len(held) >= _HELD:
                 yield from passed()
             found = features(text)
@@ -151,7 +153,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 def identified(text: Column, model: Mixture) -> Column:
     """Struct of ``lang_pred`` and ``score``."""
     def run(texts: pa.Array) -> pa.Array:
-        rows = [model.predict(t) for t in texts.to_pylist()]
+        rows = [model.predict(t) for (t,) in values(texts)]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang_pred", "score"])
 
     return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text.cast("string"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, materialize
+from tallyloom.llm.common import components, materialize, values
 
 RADIUS = 4
 SHINGLE = 4
@@ -59,7 +59,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
+    return pa.array(np.array([fingerprint(t) for (t,) in values(texts)], np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

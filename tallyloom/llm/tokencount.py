@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import values
+
 RULES = ("start", "majority", "split")
 RULE = "majority"
 _ROW = pa.struct([("section", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])
@@ -115,7 +117,7 @@ def _counts(text: str | None, sections: list | None, path: str, pattern: str, ru
     at = byte_offsets(text, np.array(spans, np.int64).reshape(-1, 2))
     count, crossing = attribute(token_ends(text, path, pattern), at[:, 0], at[:, 1], rule)
     rows = [{"section": i, "start": a, "end": b, "n_tokens": count[i], "n_crossing": int(crossing[i])} for i, (a, b) in enumerate(spans)]
-    if count[-1] or crossing[-1]:
+    if count[-1]:
         rows.append({"section": -1, "start": None, "end": None, "n_tokens": count[-1], "n_crossing": int(crossing[-1])})
     return rows
 
@@ -140,10 +142,10 @@ def token_counts(
     text = F.col(text) if isinstance(text, str) else text
 
     def lines(texts: pa.Array) -> pa.Array:
-        return pa.array([_counts(t, None, path, pattern, rule) for t in texts.to_pylist()], pa.list_(_ROW))
+        return pa.array([_counts(t, None, path, pattern, rule) for (t,) in values(texts)], pa.list_(_ROW))
 
     def given(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_counts(t, s or [], path, pattern, rule) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.list_(_ROW))
+        return pa.array([_counts(t, s or [], path, pattern, rule) for t, s in values(texts, spans)], pa.list_(_ROW))
 
     schema = "array<struct<section:int,start:int,end:int,n_tokens:double,n_crossing:bigint>>"
     if sections is None:
