@@ -21,24 +21,39 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-#: Entries that each of two generations of a worker's table of words, or of fragments, holds.
-REMEMBERED = 250_000
-_WHITE = regex.compile(r"[\t-\r \x85\xa0]+")
-#: Texts of these characters alone are split here: Latin, Greek, Cyrillic, common punctuation.
-_COMMON = regex.compile(r"[\x00-\u052f\u2010-\u2027\u2030-\u205e\u20ac]*")
+from tallyloom.llm.common import values
+
+#: Entries that each of two generations of a worker's table holds: of runs between blanks, of words, of fragments.
+REMEMBERED = (150_000, 100_000, 20_000)
+#: Texts of these characters alone are split here: Latin, Greek, Cyrillic, common punctuation.  The blanks among
+#: them are those of ``str.split``.
+_COMMON = regex.compile(r"[\x00-\x1b\x20-\u052f\u2010-\u2027\u2030-\u205e\u20ac]*")
+
+
+def _supported(spec: dict) -> str | None:
+    """The word pattern of a file whose steps this codec follows, else None."""
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [(p["type"], p.get("behavior"), p.get("invert")) for p in parts]
+    model = spec["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or steps != ["NFC", "Replace", "Lowercase"] or kinds != [("Split", "Removed", True), ("ByteLevel", None, None)] or spec.get("decoder"):
+        return None
+    return parts[0]["pattern"]["Regex"]
 
 
 class Memory:
     """A bounded table: a full young generation takes the place of the old one, so frequent keys stay."""
 
-    def __init__(self, size: int = REMEMBERED):
+    def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
     def get(self, key):
@@ -66,24 +81,26 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or (split["type"], split["behavior"], split["invert"], level["type"]) != ("Split", "Removed", True, "ByteLevel") or spec.get("decoder") or model.get("ignore_merges"):
+        model, split = spec["model"], _supported(spec)
+        if split is None:
             raise ValueError(f"{path}: only normalising word BPE without a decoder is supported")
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        # the merge engines: without a cache of their own, one for the end of a word and one for all before it
+        self._last = models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix or None, cache_capacity=0)
+        self._inner = models.BPE(vocab=self.vocab, merges=merges, cache_capacity=0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._words = regex.compile(split["pattern"]["Regex"])
+        self._words = regex.compile(split)
         # tables of character classes differ between Unicode versions: other scripts go by the library's
         self._library = Tokenizer.from_file(path)
         self._byte = _byte_characters()
+        self._back = {c: b for b, c in enumerate(self._byte)}
         # symbols side by side inside some token: all other pairs force a cut
         self.inside = {pair for t in self.vocab for s in [self._symbols(t)] for pair in zip(s, s[1:])}
-        self._word, self._fragment = Memory(), Memory()
+        self._run, self._word, self._fragment = map(Memory, REMEMBERED)
 
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -96,45 +113,30 @@ class Codec:
         cuts = [i for i in range(1, len(symbols)) if (symbols[i - 1], symbols[i]) not in self.inside]
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
 
-    def merge(self, symbols: tuple[str, ...]) -> list[str]:
-        """Merges by rank, the leftmost first."""
-        parts, rank, none = list(symbols), self.rank, len(self.rank)
-        ranks = [rank.get(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
-        return parts
+    def merge(self, symbols: Sequence[str], last: bool) -> list[str]:
+        """Tokens of one fragment, merged by the library's engine; the last one of a word has the suffix."""
+        return [t.value for t in (self._last if last else self._inner).tokenize("".join(symbols))]
 
     def _tokens(self, word: str) -> list[str]:
         """Tokens of one word, given as characters that stand for its bytes."""
         symbols = list(word)
         if self.suffix:
             symbols[-1] += self.suffix
+        parts = self.fragments(symbols)
+        if len(parts) == 1:
+            return self.merge(word, True)
         out: list[str] = []
-        for fragment in self.fragments(symbols):
-            found = self._fragment.get(fragment)
+        for part in parts[:-1]:
+            found = self._fragment.get(part)
             if found is None:
-                found = [t for t in self.merge(fragment) if t in self.vocab]
-                self._fragment.put(fragment, found)
+                found = self.merge(part, False)
+                self._fragment.put(part, found)
             out += found
-        return out
-
-    def _split(self, text: str) -> list[str]:
-        """Normalised words; bytes are not yet replaced by characters in those of common characters."""
-        if _COMMON.fullmatch(text):
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # by character: no final sigma
-            return self._words.findall(_WHITE.sub(" ", text).lower())
-        normal = self._library.normalizer.normalize_str(text)
-        back = {c: b for b, c in enumerate(self._byte)}
-        return [bytes(back[c] for c in w).decode("utf-8", "replace") for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+        tail = len(parts[-1])
+        return out + self.merge(word[len(word) - tail :], True)
 
     def _known(self, word: str) -> tuple[str, str]:
+        """Ids and tokens of a normalised word, each joined by blanks."""
         found = self._word.get(word)
         if found is None:
             t = self._tokens("".join([self._byte[b] for b in word.encode("utf-8", "replace")]))
@@ -142,15 +144,30 @@ class Codec:
             self._word.put(word, found)
         return found
 
+    def _known_run(self, run: str) -> tuple[str, str]:
+        """The same for a run of characters between blanks: no word reaches over a blank."""
+        found = self._run.get(run)
+        if found is None:
+            pairs = [self._known(w) for w in self._words.findall(run)]
+            found = pairs[0] if len(pairs) == 1 else (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
+            self._run.put(run, found)
+        return found
+
+    def _pairs(self, text: str) -> list[tuple[str, str]]:
+        if _COMMON.fullmatch(text):
+            if not text.isascii():
+                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # by character: no final sigma
+            young = self._run.young.get
+            return [young(r) or self._known_run(r) for r in text.lower().split()]
+        normal = self._library.normalizer.normalize_str(text)
+        words = [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [self._known(bytes(map(self._back.__getitem__, w)).decode("utf-8", "replace")) for w in words]
+
     def _encoded(self, text: str) -> tuple[list[str], list[str]]:
-        """Per word its ids and its tokens, each joined by blanks."""
+        """Ids and tokens of the text's pieces, each joined by blanks."""
         pairs: list[tuple[str, str]] = []
         for k, part in enumerate(self._specials.split(text) if self._specials and "<|" in text else [text]):
-            if k % 2:
-                pairs.append((str(self.special[part]), part))
-                continue
-            young = self._word.young.get
-            pairs += [young(w) or self._known(w) for w in self._split(part)]
+            pairs += [(str(self.special[part]), part)] if k % 2 else self._pairs(part)
         return [p[0] for p in pairs], [p[1] for p in pairs]
 
     def encode(self, text: str | None) -> list[int]:
@@ -177,7 +194,7 @@ def encoded(text: Column, path: str) -> Column:
     """``array<int>`` of ids."""
     def run(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array([c.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([c.encode(t) for (t,) in values(texts)], pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>").asNondeterministic()(text.cast("string"))
 
@@ -186,7 +203,7 @@ def decoded(ids: Column, path: str) -> Column:
     """The text of an array of ids."""
     def run(rows: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array([c.decode(r or []) for r in rows.to_pylist()], pa.string())
+        return pa.array([c.decode(r or []) for (r,) in values(rows)], pa.string())
 
     return F.arrow_udf(run, "string").asNondeterministic()(ids)
 
@@ -195,7 +212,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` per row."""
     def run(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        rows = [c.digest(t) for t in texts.to_pylist()]
+        rows = [c.digest(t) for (t,) in values(texts)]
         kinds = ((0, pa.int64()), (1, pa.string()), (2, pa.string()))
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
