@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import BROADCAST_ROWS, materialize
+from tallyloom.llm.common import BROADCAST_ROWS, materialize, values
 from tallyloom.llm.urlfilter import split_url
 
 LOW_IMPORTANCE = 0.2
@@ -77,7 +77,9 @@ _CLOSES = {
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*)"
+# a tag with its quoted values, else (an unpaired quote) one that ends at the next bracket
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|{_NAME}((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|{_NAME}([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -131,10 +133,11 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
         if not found:
             return
         at = found.end()
-        if found[2] is None:
+        closing, name, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
+        if name is None:
             continue
-        tag = found[2].lower()
-        if found[1]:
+        tag = name.lower()
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     yield "break" if any(n.tag not in INLINE for n in stack[k:]) else "stay", stack, ""
@@ -167,7 +170,7 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        style, words, role = _style(tag, found[3])
+        style, words, role = _style(tag, attributes)
         main = top.main or tag in REGIONS
         if len(stack) < MAX_DEPTH:
             node = _Node(tag, _hash(top.path, style), top.named_noise or _is_noise(tag, words, role, top.main), main)
@@ -230,7 +233,7 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, page in values(batch.column(0), batch.column(1)):
             for row in style_rows(page):
                 for column, value in zip(out, (host, *row)):
                     column.append(value)
@@ -265,7 +268,7 @@ def low_nodes(tree: DataFrame, threshold: float = LOW_IMPORTANCE, min_pages: int
 
 
 def _extracted(pages: pa.Array, low: pa.Array) -> pa.Array:
-    return pa.array([main_text(p, frozenset(x or ())) for p, x in zip(pages.to_pylist(), low.to_pylist())], pa.string())
+    return pa.array([main_text(p, frozenset(x or ())) for p, x in values(pages, low)], pa.string())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
