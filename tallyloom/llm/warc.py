@@ -10,7 +10,9 @@ response and the others revisit it.  Which that is comes from a map-side combine
 join of (id, digest) rows alone, which the adaptive skew join splits for a payload that very many records
 share; the payloads themselves are shuffled once, by id.
 
-A writing task streams to a temporary name and renames, so a repeated task replaces its own files.
+Each attempt of a task writes bundles of its own names, and the index, which Spark commits, has the rows of the
+successful attempt alone.  Readers take the bundles that the index names, so a lost, repeated or speculative
+task neither loses nor repeats a record; files of failed attempts are never read.
 
 Defined results: a null payload is written as an empty one; a null address gives no target header; a null
 id is never named as a response if its group has another id; rows that repeat the response's id are all
@@ -33,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, scratch_path
+from tallyloom.llm.common import broadcast_if_small, materialize, scratch_path, values
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -123,14 +125,14 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 class _Writer:
     """Streams records of one task into bundles."""
 
-    def __init__(self, folder: str, part: int, frame_bytes: int, bundle_bytes: int):
+    def __init__(self, folder: str, part: str, frame_bytes: int, bundle_bytes: int):
         self.fs, self.root = file_system(folder)
-        self.folder, self.part, self.frame_bytes, self.bundle_bytes = folder, part, frame_bytes, bundle_bytes
+        self.part, self.frame_bytes, self.bundle_bytes = part, frame_bytes, bundle_bytes
         self.number, self.out, self.frames, self.size = 0, None, [], 0
         self.buffer, self.held, self.zstd = bytearray(), [], zstandard.ZstdCompressor(level=6)
 
     def _name(self) -> str:
-        return f"part-{self.part:05d}-{self.number:04d}.warc.zst"
+        return f"part-{self.part}-{self.number:04d}.warc.zst"
 
     def add(self, key, name: str, raw: bytes) -> Iterator[tuple]:
         if self.buffer and len(self.buffer) + len(raw) > self.frame_bytes:
@@ -142,8 +144,7 @@ class _Writer:
         if not self.buffer:
             return
         if self.out is None:
-            self.temporary = f"{self.root}/.{self._name()}.{uuid.uuid4().hex}"
-            self.out = self.fs.open_output_stream(self.temporary)
+            self.out = self.fs.open_output_stream(f"{self.root}/{self._name()}", compression=None)  # not by the suffix
         packed = self.zstd.compress(bytes(self.buffer))
         self.out.write(packed)
         self.frames.append((len(packed), len(self.buffer)))
@@ -157,7 +158,6 @@ class _Writer:
         if self.out is not None:
             self.out.write(seek_table(self.frames))
             self.out.close()
-            self.fs.move(self.temporary, f"{self.root}/{self._name()}")
             self.number, self.out, self.frames, self.size = self.number + 1, None, [], 0
 
 
@@ -171,10 +171,11 @@ def _writing(folder: str, frame_bytes: int, bundle_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer = _Writer(folder, TaskContext.get().partitionId(), frame_bytes, bundle_bytes)
+        task = TaskContext.get()
+        writer = _Writer(folder, f"{task.partitionId():05d}-{task.taskAttemptId()}", frame_bytes, bundle_bytes)
         for batch in batches:
             rows: list[tuple] = []
-            for key, url, html, refers in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for key, url, html, refers in values(*batch.columns):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 rows += writer.add(key, *record(key, url, payload, refers))
             yield _index_batch(rows)
@@ -222,7 +223,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
     names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     for batch in batches:
-        for content in batch.column(0).to_pylist():
+        for (content,) in values(batch.column(0), size=1):
             for frame in _frames_of(content):
                 rows = []
                 for _, _, head, block in parse(frame):
@@ -239,9 +240,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """``(key, payload_bytes, payload_digest, record_type, refers_to, url)`` of every record.
 
-    Whole bundles are read by Spark's own reader; each response's payload is checked against its digest.
+    The bundles that the index names are read whole by Spark's own reader; each response's payload is checked
+    against its digest.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    named = spark.read.schema(_INDEX).parquet(f"{folder}/index").select("bundle").distinct()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    files = files.withColumn("bundle", F.substring_index("path", "/", -1))
+    files = files.join(broadcast_if_small(named), "bundle", "left_semi").select("content")
     schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return files.mapInArrow(_read, schema)
 
