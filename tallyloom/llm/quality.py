@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import values
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_upper")
 
 #: (name, failure condition over the measurements m); the position is the bit.  Shares are compared
@@ -27,7 +29,7 @@ RULES = (
     ("few_words", lambda m: m("n_words") < 50),
     ("repeated_windows", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words")),
     ("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    ("repeated_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
+    ("repeated_lines", lambda m: 5 * m("n_dup_lines") > 2 * m("n_lines")),
     ("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 15 * m("n_words"))),
     ("shouting", lambda m: 10 * m("n_shouts") > 3 * m("n_words")),
     ("capitals", lambda m: 2 * m("n_upper") > m("word_chars")),
@@ -81,7 +83,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _measured(texts: pa.Array) -> pa.Array:
-    rows = [measure(t) for t in texts.to_pylist()]
+    rows = [measure(t) for (t,) in values(texts)]
     return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))], MEASURES)
 
 

@@ -130,7 +130,7 @@ m AS (
   FROM w LEFT JOIN lines USING (r) LEFT JOIN rep USING (r)),
 b AS (
   SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-    + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+    + 8 * (5 * n_dup_lines > 2 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
     + 32 * (10 * n_shouts > 3 * n_words)::INT + 64 * (2 * n_upper > word_chars)::INT)::BIGINT AS fail_bits FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
