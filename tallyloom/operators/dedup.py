@@ -1,7 +1,8 @@
 """Duplicates by content identity: ledgers, groups, precedence between partitions.
 
 Groups are summarised by map-side combined aggregates.  Ids of a group are listed only up to a stated number
-of examples, so a group of any size fits.
+of examples, so a group of any size fits.  What rows are joined back to is written first: a join whose other side
+is an aggregate of its own stage can't be split when one content has very many rows, a join of two tables can.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import keys
 from tallyloom.operators.sets import least_values
+from tallyloom.session import materialize
 
 
 def keep_first(df: DataFrame, *, hash_col: str, order: Column, id_col: str) -> DataFrame:
     """Adds ``representative`` (the id kept for the row's content) and ``kept``.
 
     The least of ``order`` and id wins: an aggregate over the packed order text, not a sort of each group, so one
-    content that very many rows share costs one row per task.  Null content is never a duplicate.
+    content that very many rows share costs one row per task.  Only contents of several rows are joined back.
+    Null content is never a duplicate.
     """
     packed = F.concat_ws("\0", order.cast("string"), F.col(id_col).cast("string"))
-    winners = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("__h")).agg(F.min(packed).alias("__first"))
+    groups = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("__h"))
+    winners = materialize(groups.agg(F.min(packed).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n"), "winners")
     joined = df.join(winners, F.col(hash_col) == F.col("__h"), "left")
     own = F.col(id_col).cast("string")
     rep = F.coalesce(F.substring_index("__first", "\0", -1), own)
@@ -38,7 +42,7 @@ def duplicate_groups(df: DataFrame, *, hash_col: str, id_col: str, crossing: Seq
     """Contents with more than one id: size, ``crosses_*`` for each column with several values, least ids."""
     rows = df.where(F.col(hash_col).isNotNull())
     aggregates = [F.min(F.col(c)).alias(f"__a_{c}") for c in crossing] + [F.max(F.col(c)).alias(f"__z_{c}") for c in crossing]
-    per_id = rows.select(hash_col, id_col).distinct().groupBy(hash_col).agg(F.count("*").alias("ids")).where("ids > 1")
+    per_id = materialize(rows.select(hash_col, id_col).distinct().groupBy(hash_col).agg(F.count("*").alias("ids")).where("ids > 1"), "groups")
     spread = rows.groupBy(hash_col).agg(F.count("*").alias("rows"), *aggregates).join(per_id, hash_col)
     flags = [(F.col(f"__a_{c}") != F.col(f"__z_{c}")).alias(f"crosses_{c}") for c in crossing]
     groups = spread.select(F.col(hash_col).alias("content"), "rows", "ids", *flags)
@@ -53,7 +57,7 @@ def two_phase_duplicates(df: DataFrame, *, cheap: Column, exact: Column, id_col:
     sub-groups count by themselves.
     """
     rows = df.withColumn("__cheap", cheap)
-    shared = rows.groupBy("__cheap").agg(F.count("*").alias("n")).where("n > 1 AND __cheap IS NOT NULL").select("__cheap")
+    shared = materialize(rows.groupBy("__cheap").agg(F.count("*").alias("n")).where("n > 1 AND __cheap IS NOT NULL").select("__cheap"), "shared")
     confirmed = rows.join(shared, "__cheap", "left_semi").withColumn("content", exact)
     groups = confirmed.groupBy("__cheap", "content").agg(F.countDistinct(id_col).alias("ids"))
     if strict:
@@ -80,12 +84,14 @@ def evaluation_ledger(train: DataFrame, dev: DataFrame, test: DataFrame, seed: i
     there = tag(train, "train").unionByName(tag(dev, "dev")).groupBy("__there").agg(
         F.max((F.col("s") == "train").cast("int")).alias("in_train"), F.max((F.col("s") == "dev").cast("int")).alias("in_dev")
     )
+    there = materialize(there, "there")
     rows = dev.withColumn("split", F.lit("dev")).unionByName(test.withColumn("split", F.lit("test")))
     joined = rows.join(there, F.col(hash_col) == F.col("__there"), "left").drop("__there")
     early = F.when(F.col("in_train") == 1, "train_overlap").when((F.col("split") == "test") & (F.col("in_dev") == 1), "dev_overlap")
     joined = joined.withColumn("__early", early).drop("in_train", "in_dev")
     packed = F.concat_ws("\0", keys.row_key(seed, F.col(id_col)), F.col(id_col).cast("string"))
     first = joined.where("__early IS NULL").groupBy(F.col("split").alias("__s"), F.col(hash_col).alias("__h")).agg(F.min(packed).alias("__first"))
+    first = materialize(first, "first")
     out = joined.join(first, (F.col("split") == F.col("__s")) & (F.col(hash_col) == F.col("__h")), "left")
     late = F.when((F.col("__first") == packed) | F.col(hash_col).isNull(), "kept").otherwise("internal_duplicate")
     return out.withColumn("decision", F.coalesce("__early", late)).drop("__early", "__s", "__h", "__first")
