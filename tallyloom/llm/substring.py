@@ -1,21 +1,23 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut into sentences; each run of ``SPAN`` consecutive sentences with ``MIN_WORDS`` words or more
-is hashed to 128 bits.  Of the documents that hold a run, the one with the smallest id holds its first
-occurrence (within a document, the leftmost); the sentences of every other occurrence are removed.  Only
-hashes travel: one narrow pass emits them, a map-side combined minimum finds runs held more than once, a
-join marks their later occurrences, and one join by document brings the sentence numbers back to the
-text.  A passage shared by a third of all documents is one key of the join, which the adaptive skew join
-splits; nothing gathers its occurrences in one task.
-
-A sentence ends after ``.``, ``!`` or ``?`` (one or more) before white space, or at a line end; white space
-after it belongs to it.  Runs are compared word by word in lower case, so spacing doesn't matter.
+A text is cut into sentences.  From each sentence on, and up to each sentence, the shortest run of
+consecutive sentences with ``MIN_WORDS`` words or more is hashed (a sentence that long is a run by itself), so
+every stretch of whole sentences of that length is covered by runs inside it.  Of the documents that hold a
+run, the one with the smallest id holds its first occurrence (within a document, the leftmost); the sentences
+of every other occurrence are removed.  Only hashes and ids travel: one narrow pass emits them, a map-side
+combined minimum finds runs held more than once, a join marks their later occurrences, and one join by
+document brings the marked hashes back to the text, whose runs are hashed again.  A passage shared by a third
+of all documents is one key of the join, which the adaptive skew join splits; nothing gathers its occurrences
+in one task.  Hashes have 96 bits: among 10^12 runs, some 10^-5 collisions are to be expected.
+
+A sentence ends after ``.``, ``!`` or ``?`` (one or more, marks after them included) before white space, or at a
+line end; white space after it belongs to it.  Runs are compared word by word in lower case, so spacing
+doesn't matter.
 
 Defined results: null texts stay null, texts without sentences stay as they are, a text of which every
-sentence is covered becomes empty; the row stays.  Rows that share an id and a text are one document
-repeated and are all treated alike; rows that share only the id are told apart by their text.  A null id
-comes after all others.  An empty table gives an empty result.  ``trimmed`` keeps all columns of the input;
-own columns start with ``__``.
+sentence is covered becomes empty; the row stays.  Rows that share an id count as one document: equal ones are
+all treated alike.  A null id comes after all others.  An empty table gives an empty result.  ``trimmed`` keeps
+all columns of the input; own columns start with ``__``.
 """
 
 from __future__ import annotations
@@ -28,11 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import materialize, values
 
-SPAN = 2
-MIN_WORDS = 12
-_END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
+MIN_WORDS = 25
+_END = re.compile(r"[.!?]+[^\w\s]*(?=\s)\s*|\n\s*")
 _LAST = (1 << 63) - 1
 
 
@@ -44,56 +45,80 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], cuts))
 
 
-def runs(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
-    """``(number of the first sentence, 128-bit hash)`` of every run; sentences without a word don't count.
-
-    A text of one to ``span - 1`` sentences counts as one run if it has enough words.
-    """
-    held = [(i, w) for i, (a, b) in enumerate(sentences(text)) if (w := text[a:b].lower().split())]
-    k = min(span, len(held))
-    found = []
-    for j in range(len(held) - k + 1 if k else 0):
-        words = [x for _, w in held[j : j + k] for x in w]
-        if len(words) >= min_words:
-            found.append((j, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-    return found
-
-
-def _covered(text: str, first: list[int], span: int = SPAN) -> str:
-    """The text without the sentences of the runs that start at ``first``."""
+def runs(text: str) -> list[tuple[int, int, int, int]]:
+    """``(first, end, h1, h2)`` of every run, by place; numbers count the sentences with a word."""
+    held = [w for a, b in sentences(text) if (w := text[a:b].lower().split())]
+    size = [len(w) for w in held]
+    plain = [" ".join(w) for w in held]
+    found, end, total = set(), 0, 0
+    for start in range(len(held)):  # the shortest run from each sentence on
+        while end < len(held) and total < MIN_WORDS:
+            total += size[end]
+            end += 1
+        if total < MIN_WORDS:
+            break
+        found.add((start, end))
+        total -= size[start]
+    start, total = len(held), 0
+    for end in range(len(held), 0, -1):  # and the shortest up to each sentence
+        while start > 0 and total < MIN_WORDS:
+            start -= 1
+            total += size[start]
+        if total < MIN_WORDS:
+            break
+        found.add((start, end))
+        total -= size[end - 1]
+    return [(a, b, *_hash(" ".join(plain[a:b]))) for a, b in sorted(found)]
+
+
+def _hash(run: str) -> tuple[int, int]:
+    """64 and 32 bits of one 128-bit hash, the first as a signed long."""
+    h = xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))
+    return (h & (1 << 64) - 1) - (1 << 63), h >> 97
+
+
+def without(text: str, later: set[int]) -> tuple[str, int]:
+    """The text without its runs of ``later`` hashes and its own repeats, and how many runs went."""
     spans = sentences(text)
     held = [i for i, (a, b) in enumerate(spans) if text[a:b].split()]
-    drop = {i for j in first for i in held[j : j + span]}
-    return "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in drop)
+    drop: set[int] = set()
+    seen: set[int] = set()
+    gone = 0
+    for a, b, h, _ in runs(text):
+        if h in later or h in seen:
+            drop.update(held[a:b])
+            gone += 1
+        seen.add(h)
+    return "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in drop) if drop else text, gone
+
+
+_COLUMNS = {"id": pa.int64(), "h1": pa.int64(), "h2": pa.int32(), "again": pa.bool_()}
+_ROWS = 20_000  # rows that a task holds before it passes them on
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+
+    def passed() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(_COLUMNS)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COLUMNS.values())], list(_COLUMNS))
+
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: list[list] = [[], [], [], [], []]
-        for key, text in zip(ids, texts):
-            if not text:
-                continue
-            mark, seen = text_key(text), set()
-            for j, digest in runs(text):
-                repeat = digest in seen  # not the leftmost of its own document
-                seen.add(digest)
-                a, b = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                for column, value in zip(out, (key, mark, a, b, -j - 1 if repeat else j)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(out)], ["id", "mark", "h1", "h2", "at"])
-
-
-def text_key(text: str) -> int:
-    """Tells texts with one id apart; equals Spark's ``xxhash64(text)``."""
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
-    return h - (1 << 64) if h >> 63 else h
+        for key, text in values(batch.column(0), batch.column(1)):
+            seen: set[int] = set()
+            for _, _, h1, h2 in runs(text or ""):
+                out.append((key, h1, h2, h1 in seen))
+                seen.add(h1)
+            if len(out) >= _ROWS:
+                yield passed()
+    yield passed()
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, h1, h2, at)``: a row per run; ``at`` is ``-1 - at`` if the run stood in the text before."""
+    """``(id, h1, h2, again)``: a row per run; ``again`` if the run stood in the text before."""
     keyed = docs.select(_order(F.col(id_col)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return keyed.mapInArrow(_emitted, "id long, mark long, h1 long, h2 long, at int")
+    return keyed.mapInArrow(_emitted, "id long, h1 long, h2 int, again boolean")
 
 
 def _order(key: Column) -> Column:
@@ -101,27 +126,30 @@ def _order(key: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, at array<int>)``: per document the runs that are not the first of their kind."""
+    """``(id, later array<long>)`` of documents that repeat a run: hashes whose first document is another one."""
     every = spans(docs, id_col, text_col)
-    first = (
-        every.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first <> last").select("h1", "h2", "first")
-    )
-    later = every.where("at >= 0").join(first, ["h1", "h2"]).where("id <> first").select("id", "mark", "at")
-    within = every.where("at < 0").select("id", "mark", (-F.col("at") - 1).alias("at"))
-    return later.unionByName(within).groupBy("id", "mark").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    repeated = every.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a written table: with the aggregate in the join's own stage, a hash of very many documents could not be split
+    repeated = materialize(repeated, "runs")
+    later = every.join(repeated, ["h1", "h2"]).where("id <> first OR again")
+    return later.groupBy("id").agg(F.collect_set(F.when(F.col("id") != F.col("first"), F.col("h1"))).alias("later"))
 
 
-def _trimmed(texts: pa.Array, at: pa.Array) -> pa.Array:
-    return pa.array([t if not a else _covered(t, a) for t, a in zip(texts.to_pylist(), at.to_pylist())], pa.string())
+def _trimmed(texts: pa.Array, later: pa.Array) -> pa.Array:
+    rows = [(None, 0) if t is None else without(t, set(x)) for t, x in values(texts, later)]
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["text", "gone"])
 
 
 def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the sentences of repeated runs removed from the text, and ``__removed_runs``."""
+    """``docs`` with the sentences of repeated runs removed from the text, and ``__removed_runs``.
+
+    The join by document is a merge join at every size: the repeats grow with the corpus.
+    """
     found = materialize(repeated_runs(docs, id_col, text_col), "repeats")
-    found = found.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("at").alias("__at"))
-    keyed = docs.withColumns({"__key": _order(F.col(id_col)), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
-    joined = keyed.join(found, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__mark")), "left")
-    udf = F.arrow_udf(_trimmed, "string").asNondeterministic()
-    text = F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(udf(F.col(text_col).cast("string"), F.col("__at")))
-    return joined.withColumns({text_col: text, "__removed_runs": F.coalesce(F.size("__at"), F.lit(0))}).select(*docs.columns, "__removed_runs")
+    found = found.select(F.col("id").alias("__id"), F.col("later").alias("__later")).hint("merge")
+    joined = docs.withColumn("__key", _order(F.col(id_col))).join(found, F.col("__key") == F.col("__id"), "left")
+    udf = F.arrow_udf(_trimmed, "struct<text:string,gone:int>").asNondeterministic()
+    # texts of documents without a repeat go round Python as nulls
+    done = joined.withColumn("__done", udf(F.when(F.col("__later").isNotNull(), F.col(text_col).cast("string")), F.coalesce("__later", F.array().cast("array<long>"))))
+    text = F.when(F.col("__later").isNull(), F.col(text_col)).otherwise(F.col("__done.text"))
+    return done.withColumns({text_col: text, "__removed_runs": F.col("__done.gone")}).select(*docs.columns, "__removed_runs")
