@@ -37,23 +37,24 @@ def _signature(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as ``(node, root)``, root = smallest node.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014).  Every round is a
-    map-side combined minimum and a join on the node, is written to the shared folder, and ends when
-    an order-free signature of the edges stays the same.  Only linked nodes appear.
+    Alternates large-star and small-star rounds (Kiveris et al., 2014).  Every step is a map-side combined
+    minimum and a join on the node; both are written to the shared folder, so that the join of a node with very
+    many neighbours can be split.  The rounds end when an order-free signature of the edges stays the same.
+    Only linked nodes appear.
     """
     edges = materialize(edges.where("u <> v").distinct(), "edges")
     last = None
     while True:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         edges = (
             both.where("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         # small star: a node and its neighbours below it go to the least of them
         down = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "star")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         edges = (
             down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

@@ -192,6 +192,7 @@ def revisited(records: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     hashed = hashed.select("key", F.sha1(F.encode("p", "utf-8")).alias("d"), F.octet_length("p").alias("n"))
     hashed = hashed.where(F.col("n") >= min_revisit_bytes)
     many = hashed.groupBy("d").agg(F.max("key").alias("response"), F.count("*").alias("c")).where("c > 1").drop("c")
+    many = materialize(many, "payloads")  # as a table of its own, so that the join of a frequent payload can be split
     later = hashed.join(many, "d").where(~F.col("key").eqNullSafe(F.col("response")) & F.col("response").isNotNull())
     later = materialize(later.select(F.col("key").alias("k"), F.col("d").alias("kd"), F.col("response").alias("refers_to")).distinct(), "revisits")
     named = records.withColumn("kd0", F.sha1(F.encode(F.coalesce("payload", F.lit("")), "utf-8")))
