@@ -98,10 +98,10 @@ class _Node:
         self.children: list[str] = []
 
 
-def _style(tag: str, attributes: str) -> tuple[str, frozenset[str], str]:
-    """Tag with classes and id (digits generalised), their words, and the role."""
+def _style(tag: str, attributes: str) -> tuple[str, list[frozenset[str]], str]:
+    """Tag with classes and id (digits generalised), the words of each of those names, and the role."""
     if "=" not in attributes:
-        return tag, frozenset(), ""
+        return tag, [], ""
     names, role = [], ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = html.unescape(a or b or c).lower()
@@ -109,16 +109,20 @@ def _style(tag: str, attributes: str) -> tuple[str, frozenset[str], str]:
             role = value.strip()
         else:
             names += value.split()
-    words = frozenset(w for n in names for w in _SPLIT.split(n) if w)
+    words = [frozenset(w for w in _SPLIT.split(n) if w) for n in names]
     return " ".join([tag, *sorted(re.sub(r"\d+", "0", n) for n in names)]), words, role
 
 
-def _is_noise(tag: str, words: frozenset[str], role: str, inside: bool) -> bool:
+def _is_noise(tag: str, names: list[frozenset[str]], role: str, inside: bool) -> bool:
+    """Whether tag, role or names say that a branch is no main text.
+
+    A name such as ``entry-content`` outweighs others on its element, and ``post-header`` holds the title.
+    """
     if tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body", *REGIONS):
+    if tag in ("html", "body", *REGIONS) or any(n and n <= MAIN_WORDS for n in names):
         return False
-    return bool(words & NOISE_WORDS) and not (words & MAIN_WORDS and words & {"header"})
+    return any(n & NOISE_WORDS and not ("header" in n and n & MAIN_WORDS) for n in names)
 
 
 def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:

@@ -21,7 +21,8 @@ from tallyloom.llm.htmltree import main_text
         ("<p>a<script>var t='</p><p>no';</script>b</p>", "ab"), ("<p>a<!-- <p>no</p> -->b</p>", "ab"), ("<p>a <style>p{}</style", "a"),
         ("<p>cut <a href='x", "cut"), ("<article><p>open <b>bold<p>next", "open bold next"), ("<ul><li>a<li>b</ul>", "a b"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<p title='a>b'>t</p>", "t"), ("<form><p>f</p></form><p>x</p>", "x"), ("a < b and c > d", "a < b and c > d"),
-        ("<div role='navigation'>n</div><main><p>m</p></main>", "m"), ("<div id='cookie-notice'>c</div><p>x</p>", "x"), ("</p></div>x", "x"), ("<p don't>x</p><p>y</p>", "x y"), ("<p title=\"a>b</p><p>c</p>", "b c"),
+        ("<div role='navigation'>n</div><main><p>m</p></main>", "m"), ("<div id='cookie-notice'>c</div><p>x</p>", "x"), ("</p></div>x", "x"), ("<div class='entry-content comments-open'><p>x</p></div><div class='article-comments'>c</div>", "x"),
+        ("<div class='post-header'><h2>T</h2></div><p>x</p><ul class='breadcrumb'><li>b</ul>", "T x"), ("<p don't>x</p><p>y</p>", "x y"), ("<p title=\"a>b</p><p>c</p>", "b c"),
         ("<article class='post-content'><p>x</p></article>", "x"), ("<P>Upper</P><SCRIPT>no</SCRIPT>", "Upper"), ("<p>a\x0c\tb</p>\n<p> c </p>", "a b c"),
     ],
 )
