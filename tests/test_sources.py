@@ -112,3 +112,27 @@ def test_stream_ingest_and_windows(spark, tmp_path):
     events = spark.range(8).select(F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("v"))
     w = incremental.hop_window_scores(events, "ts", "v", [])
     assert {r.window_start.second: r.rows for r in w.collect() if r.rows == 4}.keys() == {0, 2, 4}
+
+
+def test_nested_documents_digests_and_reports(spark, tmp_path):
+    import hashlib
+    import json
+
+    doc = tmp_path / "audit.json"
+    doc.write_text(json.dumps({"row_hashes": [{"file": "a", "waveform_sha256": "x"}, {"file": "b", "waveform_sha256": "y"}]}, indent=1))
+    assert sorted(r.file for r in tables.read_nested(spark, str(doc), "row_hashes").collect()) == ["a", "b"]
+    r = tables.file_digests(spark, str(doc)).first()
+    assert (r.size, r.sha256) == (doc.stat().st_size, hashlib.sha256(doc.read_bytes()).hexdigest())
+    tables.write_report(spark.range(2), str(tmp_path / "report"))
+    assert len(list((tmp_path / "report").glob("part-*.json"))) == 1
+
+
+def test_stream_keeps_first_content(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = [(1, "x"), (2, "x"), (3, "y"), (4, "x")]
+    spark.createDataFrame(rows, "id long, h string").withColumn("ts", F.timestamp_seconds(F.col("id"))).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("id long, h string, ts timestamp").parquet(src)
+    q = incremental.first_by_content(stream, "h", "ts", "1 hour").writeStream.format("memory").queryName("firsts").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.h for r in spark.sql("SELECT * FROM firsts").collect()) == ["x", "y"]
