@@ -62,27 +62,36 @@ def policy_observations_grouping_sets(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("applied_gain")})
 
 
-@query("center_crop_repeat", """
-SELECT vec_id, embedding[13:52] AS crop, embedding || embedding[1:36] AS repeated FROM embeddings""")
-def center_crop_repeat(spark, d):
-    return arrays_of(spark, d).select("vec_id", arrays.fixed_length(F.col("a"), 40).alias("crop"), arrays.fixed_length(F.col("a"), 100).alias("repeated"))
+@query("center_crop", """
+SELECT vec_id, unnest(range(40))::INT AS pos, unnest(embedding[13:52])::DOUBLE AS value FROM embeddings""")
+def center_crop(spark, d):
+    df = arrays_of(spark, d).select("vec_id", F.posexplode(arrays.fixed_length(F.col("a"), 40)).alias("pos", "value"))
+    return df.withColumn("value", F.col("value").cast("double"))
 
 
-@query("crop_seed", """
-SELECT vec_id, (('0x' || substr(sha256('2026:1:' || vec_id::VARCHAR), 1, 16))::UBIGINT % 25)::BIGINT AS start,
-  embedding[(('0x' || substr(sha256('2026:1:' || vec_id::VARCHAR), 1, 16))::UBIGINT % 25)::BIGINT + 1 : (('0x' || substr(sha256('2026:1:' || vec_id::VARCHAR), 1, 16))::UBIGINT % 25)::BIGINT + 40] AS crop FROM embeddings""")
-def crop_seed(spark, d):
+@query("repeat_short", """
+SELECT vec_id, unnest(range(100))::INT AS pos, unnest(embedding || embedding[1:36])::DOUBLE AS value FROM embeddings""")
+def repeat_short(spark, d):
+    df = arrays_of(spark, d).select("vec_id", F.posexplode(arrays.fixed_length(F.col("a"), 100)).alias("pos", "value"))
+    return df.withColumn("value", F.col("value").cast("double"))
+
+
+@query("seeded_crop", """
+WITH s AS (SELECT vec_id, embedding, (('0x' || substr(sha256('2026:1:' || vec_id::VARCHAR), 1, 16))::UBIGINT % 25)::BIGINT AS start FROM embeddings)
+SELECT vec_id, start, unnest(range(40))::INT AS pos, unnest(embedding[start + 1 : start + 40])::DOUBLE AS value FROM s""")
+def seeded_crop(spark, d):
     df = arrays_of(spark, d).withColumn("start", arrays.crop_start(keys.crop_seed(2026, 1, F.col("vec_id")), F.size("a"), 40))
-    return df.select("vec_id", "start", arrays.fixed_length(F.col("a"), 40, F.col("start")).alias("crop"))
+    df = df.select("vec_id", "start", F.posexplode(arrays.fixed_length(F.col("a"), 40, F.col("start"))).alias("pos", "value"))
+    return df.withColumn("value", F.col("value").cast("double"))
 
 
 @query("hop_windows", """
 WITH w AS (SELECT vec_id, unnest([0, 10, 20, 30, 40]) AS s, embedding FROM embeddings), v AS (SELECT vec_id, s, list_max(embedding[s + 1 : s + 24]) AS m FROM w)
-SELECT vec_id, count(*) AS windows, round(avg(m::DOUBLE), 6) AS mean_score, max(m) AS max_score FROM v GROUP BY vec_id""")
+SELECT vec_id, count(*) AS windows, round(avg(m::DOUBLE), 6) AS mean_score, max(m)::DOUBLE AS max_score FROM v GROUP BY vec_id""")
 def hop_windows(spark, d):
     df = arrays_of(spark, d).withColumn("s", F.explode(arrays.window_starts(F.size("a"), 24, 10)))
     v = df.select("vec_id", F.array_max(F.slice(F.col("a"), F.col("s") + 1, 24)).alias("m"))
-    return v.groupBy("vec_id").agg(F.count("*").alias("windows"), F.round(F.avg("m"), 6).alias("mean_score"), F.max("m").alias("max_score"))
+    return v.groupBy("vec_id").agg(F.count("*").alias("windows"), F.round(F.avg("m"), 6).alias("mean_score"), F.max("m").cast("double").alias("max_score"))
 
 
 @query("zmuv_normalise", f"""
@@ -139,7 +148,8 @@ def lfcc_features(spark, d):
 
 @query("event_hop_windows", """
 WITH e AS (SELECT event_type, value, epoch_ms(ts) AS t FROM events), w AS (SELECT event_type, value, (t // 3600000 - k) * 3600000 AS s FROM e, (SELECT unnest([0, 1]) AS k))
-SELECT make_timestamp(s * 1000) AS window_start, make_timestamp((s + 7200000) * 1000) AS window_end, event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, count(*) AS rows FROM w GROUP BY ALL""")
+SELECT strftime(make_timestamp(s * 1000), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(make_timestamp((s + 7200000) * 1000), '%Y-%m-%d %H:%M:%S') AS window_end, event_type, round(avg(value), 6) AS mean_value, max(value) AS max_value, count(*) AS rows FROM w GROUP BY ALL""")
 def event_hop_windows(spark, d):
     out = hop_window_scores(table(spark, d, "events"), "ts", "value", ["event_type"], length="2 hours", hop="1 hour")
-    return out.withColumn("mean_value", F.round("mean_value", 6))
+    at = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
+    return out.withColumns({**at, "mean_value": F.round("mean_value", 6)})
