@@ -8,6 +8,7 @@ import pytest
 
 from tallyloom.llm import htmltree, queries
 from tallyloom.llm.htmltree import main_text
+from tests.conftest import same_as_sql
 
 
 @pytest.mark.parametrize(
@@ -58,6 +59,10 @@ def test_table_against_plain_expressions(spark):
         assert got[i].text == " ".join(html.unescape(text).split()) and got[i].n_chars == len(got[i].text)
 
 
+def test_query_equals_sql(spark, duck):
+    same_as_sql(spark, duck, queries.op8_html_extraction, queries.SQL["op8_html_extraction"])
+
+
 def site(n, extra=""):
     return [(i, f"http://host.example/{i}", f"<body><div class='top'>Home About Contact</div><div class='x'><p>story {i} of its own words {i * 7}</p>{extra}</div><div class='end'>All rights kept here</div></body>") for i in range(n)]
 
