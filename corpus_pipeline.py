@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontamination, quality, simhash, substring
+from tallyloom.llm import bpe, decontamination, nearcopies, quality, substring
 from tallyloom.llm.common import materialize
 from tallyloom.llm.queries import table, word_vocabulary
 from tallyloom.session import ship
@@ -40,8 +40,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.representatives(docs.select(*COLUMNS))
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    return nearcopies.representatives(docs.select(*COLUMNS))
 
 
 @stage
