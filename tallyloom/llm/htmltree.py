@@ -17,8 +17,8 @@ for each host; they are joined on host and a salt, so a host with a third of all
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are trimmed
 and joined by one blank in page order; nothing is cut off.  Unclosed and stray tags follow the usual
-recovery rules; a tag that the page's end cuts off is dropped.  Elements deeper than ``MAX_DEPTH`` hang on the
-node at that depth, so their text stays.
+recovery rules; a tag that the page's end cuts off is dropped.  Elements deeper than ``MAX_DEPTH`` count for
+the style node at that depth, but open, close and say noise or main like any other.
 
 Defined results: null or empty pages give empty text; a null address is a host of its own with the empty
 name; repeated rows count and come back each; an empty table gives an empty result; only id, address and
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,9 +94,9 @@ def _hash(*parts) -> int:
 class _Node:
     __slots__ = ("children", "main", "named_noise", "path", "tag")
 
-    def __init__(self, tag: str, path: int, named_noise: bool, main: bool):
+    def __init__(self, tag: str, path: int, named_noise: bool, main: bool, children: list[str] | None = None):
         self.tag, self.path, self.named_noise, self.main = tag, path, named_noise, main
-        self.children: list[str] = []
+        self.children = [] if children is None else children
 
 
 def _style(tag: str, attributes: str) -> tuple[str, list[frozenset[str]], str]:
@@ -129,6 +130,12 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
     """Events ``("text", open nodes, text)``, ``("open", open nodes, "")`` and ``("break", open nodes, "")``."""
     root = _Node("#", 0, False, False)
     stack, at, size = [root], 0, len(page)
+    held = Counter()  # open elements by name, so that a stray end tag needs no search
+
+    def cut(k: int) -> None:
+        held.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while at < size:
         found = _MARKUP.search(page, at)
         text = page[at : found.start()] if found else _CUT_TAG.sub("", page[at:])
@@ -142,16 +149,16 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
             continue
         tag = name.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[k].tag == tag:
                     yield "break" if any(n.tag not in INLINE for n in stack[k:]) else "stay", stack, ""
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if tag in ENDS_PARAGRAPH:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
@@ -161,7 +168,7 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
                 if stack[k].tag in barriers:
                     break
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    cut(k)
                     break
         top = stack[-1]
         if tag not in INLINE:
@@ -176,10 +183,11 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
             continue
         style, words, role = _style(tag, attributes)
         main = top.main or tag in REGIONS
-        if len(stack) < MAX_DEPTH:
-            node = _Node(tag, _hash(top.path, style), top.named_noise or _is_noise(tag, words, role, top.main), main)
-            stack.append(node)
-            yield "open", stack, ""
+        noise = top.named_noise or _is_noise(tag, words, role, top.main)
+        shallow = len(stack) < MAX_DEPTH
+        stack.append(_Node(tag, _hash(top.path, style), noise, main) if shallow else _Node(tag, top.path, noise, main, top.children))
+        held[tag] += 1
+        yield "open", stack, ""
 
 
 def blocks(page: str | None) -> Iterator[tuple[list[_Node], str]]:
@@ -189,7 +197,9 @@ def blocks(page: str | None) -> Iterator[tuple[list[_Node], str]]:
     for kind, stack, text in walk(page or ""):
         if kind == "text":
             if not held:
-                owner = list(stack)
+                owner = stack[:MAX_DEPTH]  # deeper nodes have the path of the last of these
+                if len(stack) > MAX_DEPTH:
+                    owner.append(stack[-1])
             held.append(text)
         elif kind == "break" or (kind == "open" and _visible_change(stack)):
             if held and (done := " ".join("".join(held).split())):

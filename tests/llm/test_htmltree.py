@@ -118,3 +118,12 @@ def test_edge_cases(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((str(r.page_id), r.n_chars) for r in out.collect()) == [("1", 0), ("2", 0), ("3", 1), ("3", 1), ("4", 199_999), ("None", 1)]
     assert htmltree.extract(df.limit(0)).count() == 0
+
+
+def test_elements_beyond_the_depth_close_themselves():
+    deep = "<div>" * 300 + "deep" + "</div>" * 300
+    page = f'<body><div id="wrap"><article>first {deep} last</article></div>outside</body>'
+    assert htmltree.main_text(page) == "first deep last"
+    nav = "<div>" * 300 + "<nav>links</nav><p>kept</p>" + "</div>" * 300
+    assert htmltree.main_text(f"<body><article>first {nav} last</article></body>") == "first kept last"
+    assert htmltree.main_text("<body><article>" + "<b>" * 400 + "a</article>outside</body>") == "a"
