@@ -14,6 +14,8 @@ __all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "materialize",
 
 #: A side with at most this many rows of fixed width may be broadcast (about 10 MB of longs).
 BROADCAST_ROWS = 200_000
+#: Edges that one task contracts (16 MB of longs; some 200 MB as a table of parents).
+TASK_EDGES = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -34,15 +36,48 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Star edges ``(u, v)``, v the least node, of the components of one task's edges."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = parent[up]
+            i = up
+        return i
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(i, root(i)) for i in parent]
+    kept = [[s[k] for s in stars if s[0] != s[1]] for k in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in kept], ["u", "v"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of ``edges(u long, v long)`` as ``(node, root)``, root = smallest node.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014).  Every step is a map-side combined
-    minimum and a join on the node; both are written to the shared folder, so that the join of a node with very
-    many neighbours can be split.  The rounds end when an order-free signature of the edges stays the same.
-    Only linked nodes appear.
+    Tasks of at most ``task_edges`` edges each contract their own edges to stars.  If there is one such task, that is
+    all.  Else large-star and small-star rounds alternate (Kiveris et al., 2014): every step is a map-side combined
+    minimum and a join on the node; both are written to the shared folder, so that the join of a node with very many
+    neighbours can be split.  The rounds end when an order-free signature of the edges stays the same.  Every linked
+    node appears, roots too.
     """
-    edges = materialize(edges.where("u <> v").distinct(), "edges")
+    edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    tasks = -(-edges.count() // task_edges)
+    dealt = edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)
+    edges = materialize(dealt.mapInArrow(_forest, "u long, v long"), "stars")
+    if tasks > 1:
+        edges = _stars(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Star edges ``(u, v)`` of whole components, v the least node."""
     last = None
     while True:
         # large star: neighbours above a node go to the least of its neighbourhood
@@ -62,5 +97,5 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(edges, "edges")
         now = _signature(edges)
         if now == last:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return edges
         last = now

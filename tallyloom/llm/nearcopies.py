@@ -1,13 +1,16 @@
-"""Near copies by exact shingle similarity: Jaccard of the sets of ``SHINGLE``-word shingles, ``SIMILARITY`` or more.
+"""SimHash near-duplicates held to shingle similarity: Jaccard of the sets of ``SHINGLE``-word shingles, ``SIMILARITY`` or more.
 
-Texts with one set of shingles are one node.  MinHash bands search for pairs: ``BANDS`` of ``ROWS`` minima put a
-pair at the threshold into a common bucket with probability 1 - (1 - 0.8^5)^25 = 0.99995, more above it.  Nothing
-is linked on a sketch alone: each candidate pair is verified with both whole sets.
+Texts with one set of shingles are one node.  The vantage-point trees of ``simhash`` link fingerprints within four
+bits, which brings most groups of copies together.  But texts at the threshold differ by 10 bits on average, and a tree
+hardly prunes at the 18 bits that would be safe (one in 3,000 unrelated pairs lies within them).  So MinHash bands
+search for the pairs that the trees left apart: ``BANDS`` of ``ROWS`` minima put a pair at the threshold into a common
+bucket with probability 1 - (1 - 0.8^5)^25 = 0.99995, more above it.  Nothing is linked on a sketch alone: each
+candidate pair of either search is verified with both whole sets.
 
 A bucket with a large group is not compared pair by pair at first.  In a star round each member meets one member
 of its bucket, and what links becomes one component; pairs inside a component need no more comparing.  Other rounds
 choose other centres, until the pairs left are few or a round settles less than half; then every pair left is verified.
-So components are those of all similar pairs that share a bucket.
+So components are those of all similar pairs that share a bucket or are within the trees' radius.
 
 Words are those of ``simhash``: lower case and blanks in ASCII only.  A text of fewer words than a shingle is one
 shingle, one without words too.  Defined results are those of ``simhash.representatives``.
@@ -24,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm import simhash
 from tallyloom.llm.common import broadcast_if_small, components, materialize, values
 
 SHINGLE = 5
@@ -36,11 +40,13 @@ _PART = 2048  # shingles sketched at a time, so that very long texts need bounde
 _LAST = (1 << 63) - 1
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def shingle_set(parts: list[np.ndarray]) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter(map(_HASH, map(b" ".join, grams)), np.uint64))
+    return np.unique(np.concatenate(parts)) if parts else np.array([_HASH(b"")], np.uint64)
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    return [shingle_set(list(simhash.shingle_hashes(t, SHINGLE))) for (t,) in values(texts)]
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -56,21 +62,28 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate(rows) if rows else np.array([], np.uint64)).view(np.int64)))
 
 
+def _key(own: np.ndarray) -> int:
+    return _HASH(own.tobytes())
+
+
 def _sketched(texts: pa.Array) -> pa.Array:
-    sets = [shingle_hashes(t) for (t,) in values(texts)]
-    keys = np.array([_HASH(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-    sizes = pa.array([len(s) for s in sets], pa.int32())
-    return pa.StructArray.from_arrays([pa.array(keys), sizes, _lists([bands(s) for s in sets])], ["key", "n", "bands"])
+    keys, sizes, prints, found = [], [], [], []
+    for (t,) in values(texts):
+        parts = list(simhash.shingle_hashes(t, SHINGLE))
+        own = shingle_set(parts)
+        for column, value in zip((keys, sizes, prints, found), (_key(own), len(own), simhash.majority(parts), bands(own))):
+            column.append(value)
+    longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (keys, prints)]
+    return pa.StructArray.from_arrays([longs[0], pa.array(sizes, pa.int32()), longs[1], _lists(found)], ["key", "n", "fp", "bands"])
 
 
 def _hashed(texts: pa.Array) -> pa.Array:
-    sets = [shingle_hashes(t) for (t,) in values(texts)]
-    keys = np.array([_HASH(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(keys), _lists(sets)], ["key", "hashes"])
+    sets = _sets(texts)
+    return pa.StructArray.from_arrays([pa.array(np.array([_key(s) for s in sets], np.uint64).view(np.int64)), _lists(sets)], ["key", "hashes"])
 
 
 def _keys(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([_HASH(shingle_hashes(t).tobytes()) for (t,) in values(texts)], np.uint64).view(np.int64))
+    return pa.array(np.array([_key(s) for s in _sets(texts)], np.uint64).view(np.int64))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -89,14 +102,28 @@ def _fits(a: str, b: str):
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
 
 
+def tree_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes that the vantage-point trees link; nodes of one fingerprint meet its least."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("key").alias("rep")), "prints")
+    far = simhash.links(prints.select("fp"))
+    far = far.join(prints.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+    same = nodes.select("fp", F.col("key").alias("a")).join(prints, "fp").where("a <> rep")
+    pairs = far.select("a", "b").unionByName(same.select("a", F.col("rep").alias("b")))
+    return materialize(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "tree_pairs")
+
+
 def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(key, least)`` of the nodes kept; ``nodes(key, least, n, bands)``, ``sets_of(nodes)`` gives ``(key, hashes)``."""
-    every = nodes.select("key", "least", "n", F.explode("bands").alias("bucket"))
+    """``(key, least)`` of the nodes kept; ``nodes(key, least, n, fp, bands)``, ``sets_of(nodes)`` gives ``(key, hashes)``."""
+    near = tree_pairs(nodes)
+    every = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     full = materialize(every.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
     members = materialize(every.join(full, "bucket"), "members")
-    sets = materialize(sets_of(members.select("key", "least").distinct()), "sets")
-    edges, turn, found, before = None, 0, 1, float("inf")
-    left = members.withColumn("root", F.col("key"))
+    used = members.select("key").unionByName(near.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    sets = materialize(sets_of(nodes.select("key", "least").join(used, "key", "left_semi")), "sets")
+    edges = verified(near, sets)
+    linked = materialize(components(edges).withColumnRenamed("node", "key"), "linked")
+    rooted = lambda rows: rows.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    left, turn, found, before = materialize(rooted(members), "left"), 0, 1, float("inf")
     while True:
         # only buckets that hold several components have pairs left
         sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket")
@@ -119,22 +146,20 @@ def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
         similar = verified(materialize(candidates, "candidates"), sets)
         found = similar.count()
         if found:
-            edges = materialize(similar if edges is None else edges.unionByName(similar), "links")
+            edges = materialize(edges.unionByName(similar), "links")
             linked = materialize(components(edges).withColumnRenamed("node", "key"), "linked")
         if last:
             break
         if found:
-            left = materialize(left.drop("root").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key")), "left")
+            left = materialize(rooted(left.drop("root")), "left")
         turn += 1
-    kept = nodes.select("key", "least")
-    return kept if edges is None else kept.join(dropped(nodes, linked), "key", "left_anti")
+    return nodes.select("key", "least").join(dropped(nodes, linked), "key", "left_anti")
 
 
 def dropped(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """``key`` of all nodes but the one with the smallest id in each component; ``linked(key, root)`` lacks the roots."""
-    linked = linked.unionByName(linked.select(F.col("root").alias("key"), "root").distinct())
+    """``key`` of all nodes but the one with the smallest id in each component; ``linked(key, root)``."""
     named = materialize(linked.join(nodes.select("key", "least"), "key"), "named")
-    first = named.groupBy("root").agg(F.min(F.struct(F.coalesce("least", F.lit(_LAST)).alias("o"), "key")).alias("f"))
+    first = materialize(named.groupBy("root").agg(F.min(F.struct(F.coalesce("least", F.lit(_LAST)).alias("o"), "key")).alias("f")), "first")
     return materialize(named.join(first, "root").where(F.col("key") != F.col("f.key")).select("key"), "dropped")
 
 
@@ -143,7 +168,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that repeat that id yield one row.  Rows without an id stay where their group has no id at all.
     """
-    sketch = F.arrow_udf(_sketched, "struct<key:long,n:int,bands:array<long>>").asNondeterministic()
+    sketch = F.arrow_udf(_sketched, "struct<key:long,n:int,fp:long,bands:array<long>>").asNondeterministic()
     hashed = F.arrow_udf(_hashed, "struct<key:long,hashes:array<long>>").asNondeterministic()
     rows = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
     rows = materialize(rows, "sketches")
@@ -151,7 +176,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row of each set
     first = (F.col("id") == F.col("least")) | F.col("least").isNull()
     nodes = rows.join(least, "key").where(first).dropDuplicates(["key"])
-    nodes = materialize(nodes.select("key", "least", "n", "bands"), "nodes")
+    nodes = materialize(nodes.select("key", "least", "n", "fp", "bands"), "nodes")
 
     def sets_of(some: DataFrame) -> DataFrame:
         ids = materialize(some.select(F.col("least").alias("__least")).where("__least IS NOT NULL").distinct(), "ids")

@@ -8,7 +8,7 @@ import corpus_pipeline
 from tallyloom.llm import decontamination, quality, queries, substring
 from tallyloom.llm.common import materialize
 from tests.conftest import DATA
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_nearcopies import slow as slow_near
 from tests.llm.test_substring import slow as slow_substring
 
 
@@ -16,9 +16,7 @@ def test_stages_equal_brute_force(spark):
     docs = queries.table(spark, DATA, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
     kept = {i: t for i, t in rows.items() if not any(rule(lambda m, v=dict(zip(quality.MEASURES, quality.measure(t))): v[m]) for _, rule in PLAIN)}
-    ids = sorted(kept)
-    groups = slow_components(ids, [slow_fingerprint(kept[i]) for i in ids])
-    kept = {i: kept[i] for i, g in zip(ids, groups) if i == g}
+    kept = {i: kept[i] for i in sorted(slow_near(kept))}
     kept = {i: t for i, t in slow_substring(list(kept.items())).items() if t.strip() or not kept[i].strip()}
     items = {r.item_id: r.text for r in queries.table(spark, DATA, "benchmark").collect()}
     import regex

@@ -80,18 +80,60 @@ def test_tree_equals_brute_force(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", 8)
     for seed in range(6):
         prints = near(random.Random(seed), 400)
-        labels = simhash.tree_labels(np.array(prints, np.uint64))
-        want = slow_components(list(range(len(prints))), prints)
-        first = {}
-        assert [first.setdefault(x, i) for i, x in enumerate(labels)] == want
+        x = np.array(prints, np.uint64)
+        found = [p for mask in (None, *simhash.masks()) for p in simhash.tree_links(x, mask)]
+        assert all((prints[i] ^ prints[j]).bit_count() <= 4 for i, j in found)
+        for own in (found, simhash.tree_links(x)):
+            roots = list(range(len(prints)))
+            for _ in prints:
+                for i, j in own:
+                    roots[i] = roots[j] = min(roots[i], roots[j])
+            assert roots == slow_components(list(range(len(prints))), prints)
+
+
+def test_a_dense_family_needs_balls(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    rng = random.Random(3)
+    for width in (1, 3, 7):
+        prints = sorted({rng.getrandbits(64) & ~((1 << 64) - (1 << 6 * width)) for _ in range(200)})
+        found = simhash.tree_links(np.array(prints, np.uint64), simhash.masks()[2])
+        roots = list(range(len(prints)))
+        for _ in prints:
+            for i, j in found:
+                roots[i] = roots[j] = min(roots[i], roots[j])
+        assert roots == slow_components(list(range(len(prints))), prints)
+
+
+def test_pairs_within_the_radius_meet_in_a_leaf():
+    rng = random.Random(4)
+    prints = near(rng, 3000, 200)
+    x = np.array(prints, np.uint64)
+    leaves, copies = {}, 0
+    for block, mask in enumerate(simhash.masks()):
+        tree = simhash.grow(x[rng.sample(range(3000), 600)], mask, 1, 20, iter(range(10**6)))
+        assert not isinstance(tree, int)
+        for leaf, own in simhash.visited(x, tree, mask, 1):
+            copies += len(own)
+            for p in own.tolist():
+                leaves.setdefault(p, set()).add((block, leaf))
+    assert copies < 3 * 3000 * 8
+    for i, a in enumerate(prints):
+        for b in prints[i + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                assert leaves[a] & leaves[b]
+
+
+def test_the_registered_query_divides_its_trees(spark):
+    prints = simhash.fingerprints(queries.table(spark, "/root/testdata/sf0.1", "documents")).select("fp").distinct()
+    assert all(not isinstance(tree, int) for tree in simhash.trees(prints))
 
 
 def test_divided_shards_lose_no_link(spark):
     prints = near(random.Random(9), 700)
     rows = [(int(np.array(p, np.uint64).view(np.int64)),) for p in prints]
     df = spark.createDataFrame(rows, "fp long")
-    for cap in (20_000, 3):
-        groups = {r.node: r.root for r in components(simhash.links(df, shard_rows=cap)).collect()}
+    for cap, sample in ((20_000, 1 << 16), (3, 1 << 16), (3, 100)):
+        groups = {r.node: r.root for r in components(simhash.links(df, cap, sample)).collect()}
         roots = [groups.get(r[0], r[0]) for r in rows]
         first = {}
         assert [first.setdefault(x, i) for i, x in enumerate(roots)] == slow_components(list(range(len(prints))), prints)
@@ -99,8 +141,9 @@ def test_divided_shards_lose_no_link(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id AS u", "id + 1 AS v").unionByName(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "u long, v long"))
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert all(got[i] == 0 for i in range(1, 201)) and got[501] == 500
+    for tasks in (1_000_000, 60):  # contracted in one task, and by star rounds over several
+        got = {r.node: r.root for r in components(edges, tasks).collect()}
+        assert all(got[i] == 0 for i in range(201)) and got[501] == got[500] == 500 and len(got) == 203
 
 
 def test_edge_cases(spark):
