@@ -1,18 +1,22 @@
 """Main text of web pages by a site style tree.
 
 The pages of one host are merged into a tree of style nodes: a node is the chain of tags, classes and ids
-from the root.  Over the pages that have it, a node has presentation importance, the entropy of the child
-sequences it shows, and content importance, one less the mean entropy of the spread of its text blocks
-over pages: a block that all pages repeat counts 0, one that a single page has counts 1.  Both are to the
-base of the number of pages.  Branches whose combined importance is low are removed from every page.
-
-Statistics alone can't tell a menu whose links differ on every page from an article, so importance has a
-prior: nodes whose tag, role, class or id says navigation, header, footer, sidebar, notice, advert, form,
-script, style or reader comment have none, and nodes inside ``article`` or ``main`` keep theirs.  If a page has
-such a region, only regions count; else its body does.
-
-The tree is never gathered: pages emit hashed (host, node, feature) rows, which are counted twice with
-map-side combining (by feature, then by node).  Only nodes of low importance come back, as one short list
+from the root (``html`` and ``body`` are the root).  Over the pages that have it, a node has presentation importance,
+the entropy of the child sequences it shows, and content importance, one less the mean entropy of the spread of its
+text blocks over pages: a block that all pages repeat counts 0, one that a single page has counts 1.  Both are to
+the base of the number of pages; pages of one host with equal markup are one page.
+
+A branch is removed from every page, inside and outside ``article`` or ``main``, if its importance is low: relative to
+that of the whole site (so a site of copies loses nothing), and after mixing with ``PRIOR_PAGES`` imagined pages that
+show it as important, ``REGION_PAGES`` inside a region.  Thus a branch that all pages repeat goes from five pages on,
+in a region from 19 on; few pages are weak evidence.  Named noise has prior importance 0, which no statistics lift: nodes
+whose tag, role, class or id says navigation, header, footer, sidebar, notice, advert, form, script, style or reader
+comment (their links and texts often differ on every page, as an article's do).  It is not counted in the tree.
+
+Of what is left, the regions make the text if they hold at least a third of its characters; else all of it is the text.
+
+The tree is never gathered: pages emit hashed (site, node, feature, page) rows, which are made distinct and counted
+twice with map-side combining (by feature, then by node).  Only nodes of low importance come back, as one short list
 for each host; they are joined on host and a salt, so a host with a third of all pages is spread.
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are trimmed
@@ -21,8 +25,7 @@ recovery rules; a tag that the page's end cuts off is dropped.  Elements deeper
 the style node at that depth, but open, close and say noise or main like any other.
 
 Defined results: null or empty pages give empty text; a null address is a host of its own with the empty
-name; repeated rows count and come back each; an empty table gives an empty result; only id, address and
-page are read.
+name; repeated rows come back each; an empty table gives an empty result; only id, address and page are read.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import BROADCAST_ROWS, materialize, values
 from tallyloom.llm.urlfilter import split_url
 
-LOW_IMPORTANCE = 0.2
+LOW_IMPORTANCE = 0.3
 CONTENT_WEIGHT = 0.9
-MIN_PAGES = 5
+PRIOR_PAGES = 2
+REGION_PAGES = 8
 SALTS = 32
 MAX_DEPTH = 256
 
@@ -71,6 +75,7 @@ NOISE_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry content main story body text".split())
 REGIONS = frozenset(("article", "main"))
+ROOTS = frozenset(("html", "body"))
 
 # Elements that a start tag closes implicitly, up to the nearest of the barriers.
 _CLOSES = {
@@ -121,7 +126,7 @@ def _is_noise(tag: str, names: list[frozenset[str]], role: str, inside: bool) ->
     """
     if tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body", *REGIONS) or any(n and n <= MAIN_WORDS for n in names):
+    if tag in ROOTS or tag in REGIONS or any(n and n <= MAIN_WORDS for n in names):
         return False
     return any(n & NOISE_WORDS and not ("header" in n and n & MAIN_WORDS) for n in names)
 
@@ -184,17 +189,17 @@ def walk(page: str) -> Iterator[tuple[str, list[_Node], str]]:
         style, words, role = _style(tag, attributes)
         main = top.main or tag in REGIONS
         noise = top.named_noise or _is_noise(tag, words, role, top.main)
-        shallow = len(stack) < MAX_DEPTH
+        shallow = len(stack) < MAX_DEPTH and tag not in ROOTS
         stack.append(_Node(tag, _hash(top.path, style), noise, main) if shallow else _Node(tag, top.path, noise, main, top.children))
         held[tag] += 1
         yield "open", stack, ""
 
 
-def blocks(page: str | None) -> Iterator[tuple[list[_Node], str]]:
-    """``(open nodes, text)`` of each block in page order: text between block boundaries, white space collapsed."""
+def events(page: str) -> Iterator[tuple[str, list[_Node], str]]:
+    """Events ``("open", open nodes, "")`` and ``("block", open nodes, text)``: text between block boundaries, white space collapsed."""
     held: list[str] = []
     owner: list[_Node] = []
-    for kind, stack, text in walk(page or ""):
+    for kind, stack, text in walk(page):
         if kind == "text":
             if not held:
                 owner = stack[:MAX_DEPTH]  # deeper nodes have the path of the last of these
@@ -203,10 +208,17 @@ def blocks(page: str | None) -> Iterator[tuple[list[_Node], str]]:
             held.append(text)
         elif kind == "break" or (kind == "open" and _visible_change(stack)):
             if held and (done := " ".join("".join(held).split())):
-                yield owner, done
+                yield "block", owner, done
             held = []
+        if kind == "open":
+            yield kind, stack, ""
     if held and (done := " ".join("".join(held).split())):
-        yield owner, done
+        yield "block", owner, done
+
+
+def blocks(page: str | None) -> Iterator[tuple[list[_Node], str]]:
+    """``(open nodes, text)`` of each block in page order."""
+    return ((stack, text) for kind, stack, text in events(page or "") if kind == "block")
 
 
 def _visible_change(stack: list[_Node]) -> bool:
@@ -215,54 +227,63 @@ def _visible_change(stack: list[_Node]) -> bool:
 
 
 def style_rows(page: str | None) -> set[tuple[int, int, int]]:
-    """``(node, kind, feature)`` of one page; kind 0: the node occurs, 1: a child sequence, 2: a text block."""
+    """``(node, kind, feature)`` of one page without named noise; kind 0: the node occurs, 1: a child sequence, 2: a text block."""
     rows: set[tuple[int, int, int]] = set()
     nodes: dict[int, _Node] = {}
-    for kind, stack, _ in walk(page or ""):
+    texts: list[tuple[list[_Node], str]] = []
+    for kind, stack, text in events(page or ""):
+        if stack[-1].named_noise:
+            continue
         if kind == "open":
             nodes[id(stack[-1])] = stack[-1]
+        elif kind == "block":
+            texts.append((stack, text))
+            nodes[id(stack[0])] = stack[0]
     for node in nodes.values():
         rows.add((node.path, 0, 0))
         rows.add((node.path, 1, _hash(*node.children)))
-    for stack, text in blocks(page):
+    for stack, text in texts:
         feature = _hash(text)
-        rows.update((n.path, 2, feature) for n in stack[1:])
+        rows.update([(n.path, 2, feature) for n in stack])
     return rows
 
 
-def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's text without named noise and without branches of low importance."""
-    found, region = [], False
+def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), low_inside: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's text without named noise and without branches of low importance (``low_inside`` for those in a region)."""
+    found, total, inside = [], 0, 0
     for stack, text in blocks(page):
-        if stack[-1].named_noise:
+        if stack[-1].named_noise or any(n.path in (low_inside if n.main else low) for n in stack):
             continue
         main = stack[-1].main
-        if not main and any(n.path in low for n in stack):
-            continue
-        region |= main
+        total += len(text)
+        inside += len(text) * main
         found.append((main, text))
-    return " ".join(text for main, text in found if main or not region)
+    only = inside and 3 * inside >= total
+    return " ".join([text for main, text in found if main or not only])
+
+
+_ROW = {"site": pa.int64(), "node": pa.int64(), "kind": pa.int32(), "feature": pa.int64(), "page": pa.int64()}
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for host, page in values(batch.column(0), batch.column(1)):
-            for row in style_rows(page):
-                for column, value in zip(out, (host, *row)):
-                    column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["host", "node", "kind", "feature"])
+        out: list[list] = [[] for _ in _ROW]
+        for site, key, page in values(*batch.columns):
+            rows = style_rows(page)
+            for column, part in zip(out, ([site] * len(rows), *zip(*rows), [key] * len(rows)) if rows else ()):
+                column.extend(part)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _ROW.values())], list(_ROW))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, node, pages, presentation, content, importance)`` of every style node."""
-    hosts = pages.select(split_url(F.col(url_col))[0].alias("host"), F.col(html_col).cast("string").alias("page"))
-    rows = hosts.mapInArrow(_emitted, "host string, node long, kind int, feature long")
-    counts = rows.groupBy("host", "node", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
+    """``(site, node, pages, texts, presentation, content, importance)`` of every style node; site: the hash of a host."""
+    page = F.col(html_col).cast("string")
+    hashed = pages.select(F.xxhash64(split_url(F.col(url_col))[0]).alias("site"), F.xxhash64(page).alias("key"), page.alias("page"))
+    rows = hashed.mapInArrow(_emitted, "site long, node long, kind int, feature long, page long").distinct()
+    counts = rows.groupBy("site", "node", "kind", "feature").agg(F.count("*").cast("double").alias("c"))
     of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0))
     c = F.col("c")
-    nodes = counts.groupBy("host", "node").agg(
+    nodes = counts.groupBy("site", "node").agg(
         of(0, c).alias("pages"), of(1, c).alias("shown"), of(1, c * F.log(c)).alias("shown_log"),
         of(2, F.lit(1.0)).alias("texts"), of(2, F.log(c)).alias("text_log"),
     )
@@ -270,33 +291,40 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     single = F.col("pages") < 2
     presentation = F.when(single, F.lit(1.0)).otherwise((F.log("shown") - F.col("shown_log") / F.col("shown")) / base)
     content = F.when(single | (F.col("texts") == 0), F.lit(1.0)).otherwise(1 - F.col("text_log") / (F.col("texts") * base))
-    nodes = nodes.select("host", "node", "pages", "texts", presentation.alias("presentation"), content.alias("content"))
+    nodes = nodes.select("site", "node", "pages", "texts", presentation.alias("presentation"), content.alias("content"))
     mixed = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation")
     return nodes.withColumn("importance", F.when(F.col("texts") == 0, F.col("presentation")).otherwise(mixed))
 
 
-def low_nodes(tree: DataFrame, threshold: float = LOW_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``(host, node)``: the nodes with text whose branches are removed, where enough pages show them."""
-    low = (F.col("texts") > 0) & (F.col("pages") >= min_pages) & (F.col("importance") < threshold)
-    return tree.where(low).select("host", "node")
+def low_nodes(tree: DataFrame, threshold: float = LOW_IMPORTANCE) -> DataFrame:
+    """``(site, node, inside)``: nodes whose branches are removed outside regions, and whether inside them too.
+
+    ``tree`` is read twice: a written table.
+    """
+    whole = tree.where("node = 0").select("site", F.col("importance").alias("whole"))
+    own = F.when(F.col("whole") > 0, F.least(F.lit(1.0), F.col("importance") / F.col("whole"))).otherwise(F.lit(1.0))
+    mixed = lambda prior: (prior + F.col("pages") * own) / (prior + F.col("pages"))
+    # a node is at most as important as the lesser prior lets it be, so one join serves both
+    rows = tree.where((F.col("node") != 0) & (F.col("texts") > 0) & (F.col("importance") < threshold)).join(whole, "site")
+    return rows.where(mixed(PRIOR_PAGES) < threshold).select("site", "node", (mixed(REGION_PAGES) < threshold).alias("inside"))
 
 
-def _extracted(pages: pa.Array, low: pa.Array) -> pa.Array:
-    return pa.array([main_text(p, frozenset(x or ())) for p, x in values(pages, low)], pa.string())
+def _extracted(pages: pa.Array, low: pa.Array, inside: pa.Array) -> pa.Array:
+    return pa.array([main_text(p, frozenset(x or ()), frozenset(y or ())) for p, x, y in values(pages, low, inside)], pa.string())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` for every page."""
-    nodes = materialize(low_nodes(style_tree(pages, url_col, html_col)), "low")
-    low = nodes.groupBy("host").agg(F.collect_set("node").alias("low"))
+    nodes = materialize(low_nodes(materialize(style_tree(pages, url_col, html_col), "tree")), "low")
+    low = nodes.groupBy("site").agg(F.collect_set("node").alias("low"), F.collect_set(F.when(F.col("inside"), F.col("node"))).alias("inside"))
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).cast("string").alias("__page"))
-    rows = rows.withColumn("__host", split_url(F.col("__url"))[0])
+    rows = rows.withColumn("__site", F.xxhash64(split_url(F.col("__url"))[0]))
     if nodes.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(low), rows["__host"] == low["host"], "left")
+        joined = rows.join(F.broadcast(low), rows["__site"] == low["site"], "left")
     else:
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__url"), F.lit(SALTS)))
         low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = rows.join(low, (rows["__host"] == low["host"]) & (rows["__salt"] == low["salt"]), "left")
+        joined = rows.join(low, (rows["__site"] == low["site"]) & (rows["__salt"] == low["salt"]), "left")
     udf = F.arrow_udf(_extracted, "string").asNondeterministic()
-    done = joined.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), udf("__page", "low").alias("text"))
+    done = joined.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), udf("__page", "low", "inside").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))

@@ -10,7 +10,8 @@ candidate pair of either search is verified with both whole sets.
 A bucket with a large group is not compared pair by pair at first.  In a star round each member meets one member
 of its bucket, and what links becomes one component; pairs inside a component need no more comparing.  Other rounds
 choose other centres, until the pairs left are few or a round settles less than half; then every pair left is verified.
-So components are those of all similar pairs that share a bucket or are within the trees' radius.
+So components are those of all similar pairs that share a bucket or are within the trees' radius.  The first star
+round takes the trees' pairs along.
 
 Words are those of ``simhash``: lower case and blanks in ASCII only.  A text of fewer words than a shingle is one
 shingle, one without words too.  Defined results are those of ``simhash.representatives``.
@@ -88,8 +89,6 @@ def _keys(texts: pa.Array) -> pa.Array:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` that are similar; ``sets(key, hashes)``. Both sides of a join are dealt by key, so that a frequent centre can be split."""
-    used = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = sets.join(broadcast_if_small(materialize(used, "used")), "key", "left_semi")
     left = pairs.join(sets.hint("merge"), F.col("u") == F.col("key")).select("u", "v", F.col("hashes").alias("a"))
     both = left.join(sets.hint("merge"), F.col("v") == F.col("key"))
     shared = F.size(F.array_intersect("a", "hashes"))
@@ -120,20 +119,19 @@ def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     members = materialize(every.join(full, "bucket"), "members")
     used = members.select("key").unionByName(near.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
     sets = materialize(sets_of(nodes.select("key", "least").join(used, "key", "left_semi")), "sets")
-    edges = verified(near, sets)
-    linked = materialize(components(edges).withColumnRenamed("node", "key"), "linked")
-    rooted = lambda rows: rows.join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    left, turn, found, before = materialize(rooted(members), "left"), 0, 1, float("inf")
+    left, edges, turn, found, before = members.withColumn("root", F.col("key")), near.limit(0), 0, 1, float("inf")
+    linked = edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
     while True:
         # only buckets that hold several components have pairs left
         sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket")
         sizes = sizes.agg(F.count("*").alias("roots"), F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("own")).where("roots > 1")
         sizes = materialize(sizes.select("bucket", "c", (F.col("c") * F.col("c") - F.col("own")).alias("cross")), "sizes")
         rows, pairs = sizes.agg(F.sum("c"), F.sum("cross") / 2).first()
-        if not rows:
+        if not rows and turn:
             break
+        rows, pairs = rows or 0, pairs or 0
         left = materialize(left.join(sizes.select("bucket"), "bucket", "left_semi"), "open")
-        last = pairs <= 4 * rows or not found or pairs > before / 2
+        last = bool(turn) and (pairs <= 4 * rows or not found or pairs > before / 2)
         before = pairs
         if last:
             other = left.select("bucket", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
@@ -142,16 +140,18 @@ def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
             order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
             stars = materialize(left.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.v", "c.m", "c.r"), "stars")
             candidates = left.join(stars, "bucket").where("root <> r")
-        candidates = candidates.where(_fits("n", "m")).select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v")).distinct()
-        similar = verified(materialize(candidates, "candidates"), sets)
+        candidates = candidates.where(_fits("n", "m")).select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v"))
+        candidates = candidates if turn else candidates.unionByName(near)
+        similar = verified(materialize(candidates.distinct(), "candidates"), sets)
         found = similar.count()
         if found:
-            edges = materialize(edges.unionByName(similar), "links")
+            edges = materialize(edges.unionByName(similar), "links") if turn else similar
             linked = materialize(components(edges).withColumnRenamed("node", "key"), "linked")
         if last:
             break
         if found:
-            left = materialize(rooted(left.drop("root")), "left")
+            left = left.drop("root").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
+            left = materialize(left, "left")
         turn += 1
     return nodes.select("key", "least").join(dropped(nodes, linked), "key", "left_anti")
 
@@ -171,12 +171,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = F.arrow_udf(_sketched, "struct<key:long,n:int,fp:long,bands:array<long>>").asNondeterministic()
     hashed = F.arrow_udf(_hashed, "struct<key:long,hashes:array<long>>").asNondeterministic()
     rows = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
-    rows = materialize(rows, "sketches")
-    least = materialize(rows.groupBy("key").agg(F.min("id").alias("least")), "least")
-    # one row of each set
-    first = (F.col("id") == F.col("least")) | F.col("least").isNull()
-    nodes = rows.join(least, "key").where(first).dropDuplicates(["key"])
-    nodes = materialize(nodes.select("key", "least", "n", "fp", "bands"), "nodes")
+    # one row of each set; size, fingerprint and buckets follow from the set (the fingerprint but for repeated shingles)
+    nodes = rows.groupBy("key").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
 
     def sets_of(some: DataFrame) -> DataFrame:
         ids = materialize(some.select(F.col("least").alias("__least")).where("__least IS NOT NULL").distinct(), "ids")

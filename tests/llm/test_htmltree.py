@@ -75,18 +75,106 @@ def test_repeated_branches_go_and_content_stays(spark):
     assert all(got[100 + i] == "same" for i in range(3))  # three pages are no evidence
 
 
+def plain_div(n):
+    """A site without regions and without telling names: menu, story, a teaser that uses article, a closing line."""
+    return [
+        (i, f"http://plain.example/{i}", f"<div class='a1'><p>Home</p><p>About us</p></div><div class='b2'><h1>Story {i}</h1><p>Own words {i} {i * 7} of some length</p></div>"
+         "<div class='c3'><article>Teaser</article></div><div class='d4'>All rights kept</div>") for i in range(n)
+    ]
+
+
+def inside(n):
+    """Noise without a telling name inside the region, in a branch that every page repeats."""
+    return [(1000 + i, f"http://inside.example/{i}", f"<article><h1>Title {i}</h1><div class='q9'><p>Read this first</p></div><p>Own words {i}</p></article>") for i in range(n)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_the_tree_decides_without_regions_and_inside_them(spark):
+    got = {r.page_id: r.text for r in htmltree.extract(frame(spark, plain_div(20) + inside(25))).collect()}
+    assert all(got[i] == f"Story {i} Own words {i} {i * 7} of some length" for i in range(20))
+    assert all(got[1000 + i] == f"Title {i} Own words {i}" for i in range(25))
+    few = {r.page_id: r.text for r in htmltree.extract(frame(spark, inside(10))).collect()}
+    assert few[1003] == "Title 3 Read this first Own words 3"  # ten pages don't outweigh a region
+
+
+def test_without_the_tree_the_noise_stays():
+    assert main_text(plain_div(1)[0][2]) == "Home About us Story 0 Own words 0 0 of some length Teaser All rights kept"
+    assert "Read this first" in main_text(inside(1)[0][2])
+
+
+def test_every_node_low_leaves_nothing():
+    for _, _, h in plain_div(2) + inside(2):
+        nodes = {row[0] for row in htmltree.style_rows(h)}
+        assert main_text(h, nodes, nodes) == ""
+
+
+def test_a_region_wins_only_with_a_third_of_the_text():
+    assert main_text("<article>short</article><div>a much longer story</div>") == "short a much longer story"
+    assert main_text("<article>a much longer story</article><div>short</div>") == "a much longer story"
+
+
+def test_deep_pages_lose_nothing_by_the_tree(spark):
+    rows = [(i, f"http://deep.example/{i}", "<article>" + "<div>" * 300 + f"deep {i}" + "</div>" * 300 + f"<p>last {i}</p></article><nav>n</nav>") for i in range(30)]
+    got = {r.page_id: r.text for r in htmltree.extract(frame(spark, rows)).collect()}
+    assert all(got[i] == f"deep {i} last {i}" for i in range(30))
+
+
+def slow_tree(rows):
+    """Lists of low nodes by site, from plain dictionaries."""
+    sites = {}
+    for _, url, h in {(u.split("/")[2], h): (i, u, h) for i, u, h in rows}.values():
+        sites.setdefault(url.split("/")[2], []).append(htmltree.style_rows(h))
+    low = {}
+    for host, pages in sites.items():
+        importance, m_of = {}, {}
+        for node in {r[0] for p in pages for r in p}:
+            own = [{r for r in p if r[0] == node} for p in pages]
+            m = sum(any(r[1] == 0 for r in p) for p in own)
+            count = lambda kind, own=own: [sum((node, kind, f) in p for p in own) for f in {r[2] for p in own for r in p if r[1] == kind}]  # noqa: B023, E731
+            shapes, texts = count(1), count(2)
+            shown = 1.0 if m == 1 else -sum(c / sum(shapes) * math.log(c / sum(shapes), m) for c in shapes)
+            if texts:
+                content = 1.0 if m == 1 else 1 - sum(math.log(c, m) for c in texts) / len(texts)
+                importance[node], m_of[node] = 0.9 * content + 0.1 * shown, m
+        whole = importance.get(0, 0)
+        for node, x in importance.items():
+            rel = min(1.0, x / whole) if whole > 0 else 1.0
+            for k, prior in enumerate((2, 8)):
+                if node and x < 0.3 and (prior + m_of[node] * rel) / (prior + m_of[node]) < 0.3:
+                    low.setdefault(host, (set(), set()))[k].add(node)
+    return low
+
+
+def test_whole_extraction_equals_slow_tree(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = plain_div(9) + inside(30) + [(2000 + i, "http://few.example/1", "<div class='top'>same</div>") for i in range(3)]
+    for i in range(150):
+        parts = [f"<div class='k{k}'>{rng.choice(['x', 'y', f'own {i}', f'part {i % 3}'])} {k}</div>" for k in rng.sample(range(8), 4)]
+        rows.append((3000 + i, f"http://h{i % 5}.example/{i}", rng.choice(["{}", "<main>{}</main>", "<section>{}</section>"]).format("".join(parts))))
+    rows += [(4000 + i, u, h) for i, (_, u, h) in enumerate(rng.sample(rows, 40))]
+    low = slow_tree(rows)
+    want = {i: main_text(h, *low.get(u.split("/")[2], ())) for i, u, h in rows}
+    assert sum(want[i] != main_text(h) for i, _, h in rows) > 40
+    assert {r.page_id: r.text for r in htmltree.extract(frame(spark, rows)).collect()} == want
+
+
 def test_copies_of_articles_stay(spark):
-    rows = [(i, "http://h.example/a", "<nav>m</nav><article><p>the very same story</p></article>") for i in range(30)]
-    got = htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.text for r in got} == {"the very same story"}
+    same = [(i, "http://h.example/a", "<nav>m</nav><article><p>the very same story</p></article>") for i in range(30)]
+    menus = [(100 + i, "http://g.example/a", f"<nav>menu {i}</nav><article><h2>Head</h2><p>the very same story</p></article>") for i in range(30)]
+    got = htmltree.extract(frame(spark, same + menus)).collect()
+    assert {r.text for r in got} == {"the very same story", "Head the very same story"}
 
 
 def test_importance_equals_loop(spark):
     rows = site(8)
     for i in range(4):
         rows[i] = (rows[i][0], rows[i][1], rows[i][2].replace("<div class='end'>", "<p>more</p><div class='end'>"))
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.node: r for r in htmltree.style_tree(df).collect()}
+    got = {r.node: r for r in htmltree.style_tree(frame(spark, rows)).collect()}
     pages, features, shapes = {}, {}, {}
     for _, _, h in rows:
         for node, kind, feature in htmltree.style_rows(h):
