@@ -13,7 +13,7 @@ in a region from 19 on; few pages are weak evidence.  Named noise has prior impo
 whose tag, role, class or id says navigation, header, footer, sidebar, notice, advert, form, script, style or reader
 comment (their links and texts often differ on every page, as an article's do).  It is not counted in the tree.
 
-Of what is left, the regions make the text if they hold at least a third of its characters; else all of it is the text.
+Of what is left, the regions make the text if they hold at least a tenth of its characters (a teaser alone is no main text); else all of it is the text.
 
 The tree is never gathered: pages emit hashed (site, node, feature, page) rows, which are made distinct and counted
 twice with map-side combining (by feature, then by node).  Only nodes of low importance come back, as one short list
@@ -258,7 +258,7 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset(), lo
         total += len(text)
         inside += len(text) * main
         found.append((main, text))
-    only = inside and 3 * inside >= total
+    only = inside and 10 * inside >= total
     return " ".join([text for main, text in found if main or not only])
 
 

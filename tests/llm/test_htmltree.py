@@ -111,9 +111,9 @@ def test_every_node_low_leaves_nothing():
         assert main_text(h, nodes, nodes) == ""
 
 
-def test_a_region_wins_only_with_a_third_of_the_text():
-    assert main_text("<article>short</article><div>a much longer story</div>") == "short a much longer story"
-    assert main_text("<article>a much longer story</article><div>short</div>") == "a much longer story"
+def test_a_region_wins_with_a_tenth_of_the_text():
+    assert main_text("<article>short</article><div>" + "a much longer story " * 3 + "</div>") == "short" + " a much longer story" * 3
+    assert main_text("<article>a story</article><div>a much longer remark</div>") == "a story"
 
 
 def test_deep_pages_lose_nothing_by_the_tree(spark):
