@@ -148,6 +148,37 @@ SELECT doc_id, item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_shared, c::DOUBL
 FROM hit JOIN size USING (item_id) WHERE c >= 0.8::DOUBLE * n
 """
 
+SQL["op5_substring_dedup"] = r"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, doc_id, text,
+    list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?,;:]+["\x27\x{201d}\x{2019}\x{bb})\]]*[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*|\z)'), lambda x: x <> '') AS parts
+  FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, len(parts) + 1)) AS k, unnest(parts) AS part FROM u),
+w AS (
+  SELECT r, doc_id, k, regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM p WHERE regexp_matches(part, '[^\x20\x09-\x0D]')),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i,
+    (sum(len(ws)) OVER (PARTITION BY r ORDER BY k))::BIGINT AS upto FROM w),
+s2 AS (SELECT *, upto - len(ws) AS before FROM s),
+d AS (SELECT r, doc_id, flatten(list(ws ORDER BY i)) AS words, max(i) AS n, list(before ORDER BY i) AS before, list(upto ORDER BY i) AS upto FROM s2 GROUP BY r, doc_id),
+down AS (SELECT a.r, a.i AS a, greatest(b.i, a.i + 1) AS b FROM (SELECT r, i, before + 25 AS need FROM s2) a ASOF JOIN s2 b ON a.r = b.r AND a.need <= b.upto),
+up AS (SELECT b.r, least(a.i, b.i - 1) AS a, b.i AS b FROM (SELECT r, i, upto - 25 AS need FROM s2) b ASOF JOIN s2 a ON a.r = b.r AND b.need >= a.before),
+span AS (SELECT * FROM down UNION SELECT * FROM up),
+run AS (
+  SELECT span.r, doc_id, a, b, array_to_string(words[before[a] + 1 : upto[b]], ' ') AS run
+  FROM span JOIN d USING (r) WHERE a >= 1 AND b <= n),
+marked AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY run) AS first, row_number() OVER (PARTITION BY run, r ORDER BY a) AS nth FROM run),
+gone AS (SELECT r, a, b FROM marked WHERE doc_id <> first OR nth > 1),
+cover AS (SELECT DISTINCT r, unnest(range(a, b + 1)) AS i FROM gone),
+lost AS (SELECT s.r, s.k FROM s JOIN cover USING (r, i)),
+kept AS (SELECT p.r, string_agg(part, '' ORDER BY k) AS text FROM p ANTI JOIN lost USING (r, k) GROUP BY p.r),
+n AS (SELECT r, count(*) AS c FROM gone GROUP BY r)
+SELECT doc_id, CASE WHEN u.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, coalesce(c, 0)::INTEGER AS removed_runs
+FROM u LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
 SQL["op4_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex FROM p),

@@ -1,18 +1,21 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut into sentences.  From each sentence on, and up to each sentence, the shortest run of
-consecutive sentences with ``MIN_WORDS`` words or more is hashed (a sentence that long is a run by itself), so
-every stretch of whole sentences of that length is covered by runs inside it.  Of the documents that hold a
+A text is cut into sentences; a clause that a comma, colon or semicolon ends is a sentence of its own here, so that a passage
+that begins or ends inside a long sentence loses a clause at most.  Every run of several consecutive sentences is
+hashed: from each sentence on, and up to each sentence, the shortest run of at least ``RUN`` sentences and ``MIN_WORDS``
+words, so that every longer stretch of whole sentences is covered by runs inside it.  Of the documents that hold a
 run, the one with the smallest id holds its first occurrence (within a document, the leftmost); the sentences
-of every other occurrence are removed.  Only hashes and ids travel: one narrow pass emits them, a map-side
+of every other occurrence are removed.
+
+Only hashes and ids travel: one narrow pass emits them to a written table, a map-side
 combined minimum finds runs held more than once, a join marks their later occurrences, and one join by
 document brings the marked hashes back to the text, whose runs are hashed again.  A passage shared by a third
 of all documents is one key of the join, which the adaptive skew join splits; nothing gathers its occurrences
 in one task.  Hashes have 96 bits: among 10^12 runs, some 10^-5 collisions are to be expected.
 
-A sentence ends after ``.``, ``!`` or ``?`` (one or more, marks after them included) before white space, or at a
-line end; white space after it belongs to it.  Runs are compared word by word in lower case, so spacing
-doesn't matter.
+A sentence ends after one or more of ``. ! ? , ; :`` (closing quotes and brackets after them included) before white
+space, or at a line end; white space after it belongs to it.  Runs are compared word by word, A-Z in lower case, so
+spacing doesn't matter; words are what ASCII white space parts.
 
 Defined results: null texts stay null, texts without sentences stay as they are, a text of which every
 sentence is covered becomes empty; the row stays.  Rows that share an id count as one document: equal ones are
@@ -23,7 +26,9 @@ all columns of the input; own columns start with ``__``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialize, values
 
+RUN = 2
 MIN_WORDS = 25
-_END = re.compile(r"[.!?]+[^\w\s]*(?=\s)\s*|\n\s*")
+_END = re.compile("[.!?,;:]+[\"'\u201d\u2019\u00bb)\\]]*[ \t\n\x0b\x0c\r]+|\n[ \t\n\x0b\x0c\r]*")
 _LAST = (1 << 63) - 1
 
 
@@ -45,42 +51,39 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], cuts))
 
 
+def _words(part: str) -> list[bytes]:
+    return part.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
 def runs(text: str) -> list[tuple[int, int, int, int]]:
     """``(first, end, h1, h2)`` of every run, by place; numbers count the sentences with a word."""
-    held = [w for a, b in sentences(text) if (w := text[a:b].lower().split())]
-    size = [len(w) for w in held]
-    plain = [" ".join(w) for w in held]
-    found, end, total = set(), 0, 0
-    for start in range(len(held)):  # the shortest run from each sentence on
-        while end < len(held) and total < MIN_WORDS:
-            total += size[end]
-            end += 1
-        if total < MIN_WORDS:
+    held = [w for a, b in sentences(text) if (w := _words(text[a:b]))]
+    upto = [0, *accumulate(map(len, held))]
+    n, found = len(held), set()
+    for start in range(n):  # the shortest run from each sentence on
+        end = max(bisect_left(upto, upto[start] + MIN_WORDS), start + RUN)
+        if end > n:
             break
         found.add((start, end))
-        total -= size[start]
-    start, total = len(held), 0
-    for end in range(len(held), 0, -1):  # and the shortest up to each sentence
-        while start > 0 and total < MIN_WORDS:
-            start -= 1
-            total += size[start]
-        if total < MIN_WORDS:
+    for end in range(n, 0, -1):  # and the shortest up to each sentence
+        start = min(bisect_right(upto, upto[end] - MIN_WORDS) - 1, end - RUN)
+        if start < 0:
             break
         found.add((start, end))
-        total -= size[end - 1]
-    return [(a, b, *_hash(" ".join(plain[a:b]))) for a, b in sorted(found)]
+    plain = [b" ".join(w) for w in held]
+    return [(a, b, *_hash(b" ".join(plain[a:b]))) for a, b in sorted(found)]
 
 
-def _hash(run: str) -> tuple[int, int]:
+def _hash(run: bytes) -> tuple[int, int]:
     """64 and 32 bits of one 128-bit hash, the first as a signed long."""
-    h = xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))
+    h = xxhash.xxh3_128_intdigest(run)
     return (h & (1 << 64) - 1) - (1 << 63), h >> 97
 
 
 def without(text: str, later: set[int]) -> tuple[str, int]:
     """The text without its runs of ``later`` hashes and its own repeats, and how many runs went."""
     spans = sentences(text)
-    held = [i for i, (a, b) in enumerate(spans) if text[a:b].split()]
+    held = [i for i, (a, b) in enumerate(spans) if _words(text[a:b])]
     drop: set[int] = set()
     seen: set[int] = set()
     gone = 0
@@ -127,7 +130,7 @@ def _order(key: Column) -> Column:
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, later array<long>)`` of documents that repeat a run: hashes whose first document is another one."""
-    every = spans(docs, id_col, text_col)
+    every = materialize(spans(docs, id_col, text_col), "spans")  # read twice
     repeated = every.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # a written table: with the aggregate in the join's own stage, a hash of very many documents could not be split
     repeated = materialize(repeated, "runs")
