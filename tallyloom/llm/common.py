@@ -12,18 +12,21 @@ from tallyloom.session import materialize, release, scratch_path, shared_dir
 
 __all__ = ["BROADCAST_ROWS", "broadcast_if_small", "components", "materialize", "release", "scratch_path", "shared_dir", "values"]
 
-#: A side with at most this many rows of fixed width may be broadcast (about 10 MB of longs).
+#: A side within both bounds may be broadcast: rows, and bytes of its texts.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 #: Edges that one task contracts (16 MB of longs; some 200 MB as a table of parents).
 TASK_EDGES = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a materialized narrow table whose counted rows stay within ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a materialized narrow table whose counted rows and bytes of text stay within the bounds.
 
-    Beyond it the frame comes back unhinted and the join shuffles.
+    Beyond them the frame comes back unhinted and the join shuffles.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    rows, *sizes = df.agg(F.count("*"), *texts).first()
+    return F.broadcast(df) if rows <= max_rows and sum(sizes) <= max_bytes else df
 
 
 def values(*columns: pa.Array, size: int = 256) -> Iterator[tuple]:

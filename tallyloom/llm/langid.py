@@ -12,7 +12,11 @@ language can gain; EM runs only for those whose bound exceeds the penalty, which
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if nothing
 could be learned; ties go to the first language by name; rows without a language or a letter teach nothing;
 repeated rows count each; an empty table gives an empty result; extra columns are not read.  Texts are
-read whole, in pieces of bounded length.
+read whole: trigrams are hashed some 100,000 characters at a time into counts of ``BUCKETS`` buckets, and the likelihood
+is summed over buckets, so a text of any length needs a few copies of itself and 131,072 rows for each language.
+
+The model has ``BUCKETS`` numbers for each language (0.5 MB), held by the driver and each worker: it grows with the number of
+languages, not with the corpus.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ ALPHA = 0.1
 PENALTY = 2.0
 UNKNOWN = "und"
 ROUNDS = 50
+_PIECE = 100_000  # characters hashed at a time
 _HELD = 32  # languages whose dense counts a learning task holds before it passes them on
 
 
@@ -41,17 +46,41 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def _parts(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of the trigrams of letters, with one blank between and around words, some at a time; none without a letter."""
+    lower = (text or "").lower()
+    table = _letters()
+    tail, after = np.array([32], np.uint64), False  # last symbols so far; whether the last character was a letter
+    some = False
+    for at in range(0, len(lower) + 1, _PIECE):
+        raw = np.frombuffer(lower[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = table[raw]
+        some |= bool(letter.any())
+        c = np.where(letter, raw, np.uint32(32))
+        c = c[letter | np.concatenate([[after], letter[:-1]])[: len(letter)]]  # of a run of other characters one blank stays
+        after = bool(letter[-1]) if len(letter) else after
+        c = np.concatenate([tail, c.astype(np.uint64)])
+        if at + _PIECE > len(lower) and c[-1] != 32:
+            c = np.append(c, np.uint64(32))
+        tail = c[-2:]
+        if some and len(c) > 2:
+            mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
+            yield ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 17)).astype(np.int64)
+
+
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the trigrams of letters, with one blank between and around words; empty without a letter."""
-    raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[raw] if len(raw) else np.zeros(0, bool)
-    if not letter.any():
-        return np.zeros(0, np.int64)
-    c = np.where(letter, raw, np.uint32(32))
-    c = c[np.concatenate([[True], letter[1:] | letter[:-1]])]  # of a run of other characters one blank stays
-    c = np.concatenate([[32] if c[0] != 32 else [], c, [32] if c[-1] != 32 else []]).astype(np.uint64)
-    mixed = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
-    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 17)).astype(np.int64)
+    """Buckets of all trigrams of a text, in order."""
+    return np.concatenate([np.zeros(0, np.int64), *_parts(text)])
+
+
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and how often each occurs."""
+    at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in _parts(text):
+        own, more = np.unique(part, return_counts=True)
+        at, where = np.unique(np.concatenate([at, own]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([n, more]), len(at)).astype(np.int64)
+    return at, n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +96,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in values(batch.column(0), batch.column(1)):
             if lang not in held and len(held) >= _HELD:
                 yield from passed()
-            found = features(text)
-            if len(found):
-                own = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                if len(found) > BUCKETS // 8:
-                    own += np.bincount(found, minlength=BUCKETS)
-                else:
-                    np.add.at(own, found, 1)
+            at, found = counts(text)
+            if len(at):
+                held.setdefault(lang, np.zeros(BUCKETS, np.int64))[at] += found
     yield from passed()
 
 
@@ -85,28 +110,28 @@ class Mixture:
 
     def proportions(self, text: str | None) -> dict[str, float]:
         """The chosen languages and their proportions; none without a letter."""
-        at = features(text)
+        at, n = counts(text)
         if not len(at) or not self.languages:
             return {}
-        logs = self.logs[at]
-        penalty = PENALTY * np.log(max(len(at), 2))
-        best = logs.sum(axis=0)
+        logs, total = self.logs[at], int(n.sum())
+        penalty = PENALTY * np.log(max(total, 2))
+        best = n @ logs.astype(np.float64)
         chosen = [int(np.argmax(best))]
         share, value = np.ones(1), float(best[chosen[0]])
         if len(self.languages) == 1:
             return {self.languages[0]: 1.0}
         base = logs.max(axis=1)
         p = np.exp(logs - base[:, None])
-        offset = float(base.sum())
+        offset = float(n @ base.astype(np.float64))
         while len(chosen) < len(self.languages):
-            slope = (p / (p[:, chosen] @ share)[:, None]).sum(axis=0) - len(at)
+            slope = (n / (p[:, chosen] @ share)) @ p - total
             found = None
             for j in np.flatnonzero(slope > penalty):
                 if j in chosen:
                     continue
                 trial = [*chosen, int(j)]
-                w = _em(p[:, trial], np.append(share * 0.9, 0.1))
-                gain = float(np.log(p[:, trial] @ w).sum()) + offset - value
+                w = _em(p[:, trial], np.append(share * 0.9, 0.1), n)
+                gain = float(n @ np.log(p[:, trial] @ w)) + offset - value
                 if gain > penalty and (found is None or gain > found[0]):
                     found = gain, trial, w
             if found is None:
@@ -122,10 +147,11 @@ class Mixture:
         return lang, min(1.0, found[lang])
 
 
-def _em(p: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _em(p: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Proportions after expectation-maximisation; each row of ``p`` counts ``n`` times."""
+    n = np.ones(len(p)) if n is None else n
     for _ in range(ROUNDS):
-        r = p * w
-        new = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        new = (n / (p @ w)) @ p * w / n.sum()
         if np.abs(new - w).max() < 1e-4:
             return new
         w = new

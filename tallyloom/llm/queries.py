@@ -136,16 +136,16 @@ SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
 SQL["op1_decontamination"] = r"""
-WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS gram
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) > 4)),
-size AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id),
+WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+ig AS (SELECT DISTINCT item_id, w, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS gram
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM iw WHERE len(w) > 0)),
+size AS (SELECT item_id, w, count(*) AS n FROM ig GROUP BY item_id, w),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
-       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) > 4)),
-hit AS (SELECT doc_id, item_id, count(*) AS c FROM dg JOIN ig USING (gram) GROUP BY ALL)
-SELECT doc_id, item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_shared, c::DOUBLE / n AS containment
-FROM hit JOIN size USING (item_id) WHERE c >= 0.8::DOUBLE * n
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS gram
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM ig) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item_id, ig.w, count(*) AS c FROM dg JOIN ig USING (gram) GROUP BY ALL)
+SELECT doc_id, hit.item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_shared, c::DOUBLE / n AS containment
+FROM hit JOIN size ON hit.item_id IS NOT DISTINCT FROM size.item_id AND hit.w = size.w WHERE c >= 0.8::DOUBLE * n
 """
 
 SQL["op5_substring_dedup"] = r"""

@@ -63,15 +63,22 @@ def test_edge_cases(spark):
     items = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "too few words"), (None, text)], "item_id long, text string").withColumn("n", F.lit(3))
     docs = spark.createDataFrame([(1, text), (1, text), (None, "x " + text), (2, None), (3, ""), (4, "too few words"), (5, "y " * 60_000)], "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS h", "3 AS gram")
     got = sorted(((r.doc_id, r.item_id) for r in d.contamination(docs, items).collect()), key=str)
-    assert got == sorted([(1, 1), (1, None), (None, 1), (None, None)], key=str)
+    assert got == sorted([(1, 1), (1, None), (None, 1), (None, None), (4, 4)], key=str)
     kept = d.clean(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     none = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert d.contamination(none[0], items).count() == d.contamination(docs, none[1]).count() == 0
     assert d.clean(docs, none[1]).count() == docs.count()
 
 
+def test_short_items_and_items_of_one_id(spark):
+    items = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma delta"), (3, "one two three four five six"), (3, "red green blue white black grey"), (4, "...")], "item_id long, text string")
+    docs = [(1, "x alpha y"), (2, "beta gamma, delta"), (3, "gamma beta delta"), (4, "so red green blue white black grey one"), (5, "alphabet"), (6, "alpha")]
+    got = {(r.doc_id, r.item_id, r.n_shingles) for r in d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1, 1), (6, 1, 1), (2, 2, 1), (4, 3, 2)}
+
+
 def test_plan_has_no_python(spark):
-    df = d.candidates(queries.table(spark, "/root/testdata/sf0.001", "documents"), spark.createDataFrame([(1, 2)], "item_id long, h long"), 1)
+    df = d.candidates(queries.table(spark, "/root/testdata/sf0.001", "documents"), spark.createDataFrame([(1, 2)], "item long, h long"), [5], 1)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -71,6 +71,42 @@ def test_held_out_accuracy(spark):
     assert sum((got[i] == "block") == bool(y) for i, (_, y) in enumerate(test)) / len(test) > 0.95
 
 
+def test_host_suffixes_of_rules_are_no_feature(spark):
+    """Rules label org and com; a rare suffix of the same letters gets the verdict of a frequent one."""
+    rng = random.Random(4)
+    rows = [address(rng, False).replace("example.net", f"example.{rng.choice(['org', 'com', 'net', 'net'])}") for _ in range(600)]
+    twins = {u: u.replace("example.net", "example.ten") for u in rows if "example.net" in u}
+    some = dict(list(twins.items())[:20])
+    df = spark.createDataFrame(list(enumerate([*rows, *some.values()])), "page_id long, url string")
+    got = {r.url: r.verdict for r in urlfilter.judged(df, [("org/", "allow"), ("com/", "block")]).join(df, "page_id").collect()}
+    assert all(got[u] == got[v] for u, v in some.items())
+
+
+def test_sample_keeps_the_weight_of_classes_and_repeats(spark):
+    names = [f"cast(id AS double) AS {f}" for f in urlfilter.FEATURES]
+    rows = spark.range(100).selectExpr(*names, "0D AS label").unionByName(spark.range(3).selectExpr(*names, "1D AS label"))
+    rows = rows.unionByName(spark.range(900).selectExpr(*(x.replace("(id", "(7") for x in names), "0D AS label"))
+    fit = urlfilter.training_rows(rows, 10).toPandas()
+    assert len(fit) == 13 and fit.groupby("label").weight.sum().round(6).to_dict() == {0.0: 1000.0, 1.0: 3.0}
+    assert len(fit[["url_length", "label"]].drop_duplicates()) == 13
+
+
+def test_held_out_hosts_of_the_table(spark):
+    """Labels are those that rules give; hosts of one fold are judged by trees that never saw them, rules aside."""
+    pages = queries.table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")
+    host, path, _ = urlfilter.split_url(F.col("url"))
+    rule, says = urlfilter.rule_for(host, path, queries.URL_RULES)
+    known = pages.withColumns({"host": host, "label": (says == "block").cast("double")}).where("label IS NOT NULL")
+    held = F.crc32("host") % 4 == 0
+    use = [f for f in urlfilter.FEATURES if f not in urlfilter.HOST_SUFFIX]
+    base = urlfilter.features(known.select("url", "label"), "url")
+    df = urlfilter.with_suffix_share(base, urlfilter.suffix_stats(base))
+    block = urlfilter.train(df.where(~held), use=use)
+    r = df.where(held).agg(F.avg((block == (F.col("label") == 1)).cast("double")).alias("right"), F.avg("label").alias("blocked"), F.count("*").alias("n")).first()
+    print(f"held-out hosts: {r.n} addresses, {r.right:.3f} right, {1 - r.blocked:.3f} are allowed")
+    assert r.n > 100 and r.right >= 1 - r.blocked - 0.05  # rules name suffixes and languages: other features say little
+
+
 def test_column_equals_the_model(spark):
     """The written-out trees give the margin that Spark ML's own model gives."""
     from pyspark.ml.classification import GBTClassifier
