@@ -49,3 +49,11 @@ def additive_digest(*columns: Column) -> Column:
     first = F.xxhash64(*columns).cast("decimal(38,0)")
     second = F.xxhash64(F.lit("b"), *columns).cast("decimal(38,0)")
     return F.struct(F.count(F.lit(1)).alias("n"), F.sum(first).alias("a"), F.sum(second).alias("b"))
+
+
+def selection_digest(row_id: Column) -> Column:
+    """Aggregate: text that names a selection of any size, in any order: its number of ids and the sums of two 60-bit
+    pieces of their SHA-256, joined by ``-``; nothing is gathered."""
+    h = F.sha2(row_id.cast("string"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    return F.concat_ws("-", F.count(row_id).cast("string"), part(1).cast("string"), part(16).cast("string"))

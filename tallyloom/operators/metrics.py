@@ -21,14 +21,14 @@ MAX_CLUSTERS = 200_000
 
 def invalid_rows(df: DataFrame, label: str, score: str) -> DataFrame:
     """Rows that no metric accepts: a label other than 0 and 1, or a score that is null, NaN or infinite."""
-    bad_label = F.col(label).isNull() | ~F.col(label).cast("int").isin(0, 1)
+    bad_label = F.col(label).isNull() | ~F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False))
     bad_score = F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == float("inf"))
     return df.where(bad_label | bad_score)
 
 
 def checked(df: DataFrame, label: str, score: str) -> DataFrame:
     """The same rows; a query over them fails at the first invalid one."""
-    bad = F.col(label).isNull() | ~F.col(label).cast("int").isin(0, 1) | F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == float("inf"))
+    bad = F.col(label).isNull() | ~F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False)) | F.col(score).isNull() | F.isnan(score) | (F.abs(F.col(score)) == float("inf"))
     return df.withColumn(label, F.when(bad, F.raise_error(F.lit("label must be 0 or 1 and score finite")).cast("int")).otherwise(F.col(label).cast("int")))
 
 

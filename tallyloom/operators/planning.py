@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 from tallyloom.operators import stats
 
 
-def shard_plan(rows: DataFrame, local: DataFrame, sizes: DataFrame, *, shard_col: str = "shard", headroom: float = 0.10) -> DataFrame:
-    """``(shard, wanted_rows, present, bytes, budget_bytes)`` for each needed shard.
+def shard_plan(rows: DataFrame, local: DataFrame, listed: DataFrame, *, shard_col: str = "shard") -> DataFrame:
+    """``(shard, wanted_rows, present, missing_bytes, size_source)`` for each needed shard.
 
-    ``rows(shard)`` are the wanted rows, ``local(shard)`` the shards at hand, ``sizes(shard, bytes)`` known sizes; a
-    missing size counts as the mean of the known ones.  The budget of what is missing has headroom.
+    ``rows(shard)`` are the wanted rows, ``local(shard, bytes)`` the shards at hand, ``listed(shard, bytes)`` sizes that the
+    store lists.  All missing shards take their size from one source: the list if it has every one of them, else the
+    rounded mean of the local shards.  Without local shards either, sizes are null.
     """
     need = rows.groupBy(shard_col).agg(F.count("*").alias("wanted_rows"))
     have = local.select(shard_col).distinct().withColumn("present", F.lit(True))
-    mean = sizes.agg(F.avg("bytes").alias("__mean"))
-    out = need.join(have, shard_col, "left").join(sizes.select(shard_col, "bytes"), shard_col, "left").crossJoin(F.broadcast(mean))  # one row
-    size = F.coalesce(F.col("bytes").cast("double"), F.col("__mean"))
-    present = F.coalesce("present", F.lit(False))
-    return out.select(
-        shard_col, "wanted_rows", present.alias("present"), size.alias("bytes"),
-        F.when(present, 0.0).otherwise(size * (1 + headroom)).alias("budget_bytes"),
+    known = listed.select(shard_col, F.col("bytes").alias("__listed"))
+    out = need.join(have, shard_col, "left").join(known, shard_col, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    lacking = out.agg(F.coalesce(F.max((~F.col("present") & F.col("__listed").isNull()).cast("int")), F.lit(0)).alias("__lacking"))
+    mean = local.agg(F.bround(F.avg("bytes"), 0).cast("long").alias("__mean"))
+    out = out.crossJoin(F.broadcast(lacking)).crossJoin(F.broadcast(mean))  # two single rows
+    complete = F.col("__lacking") == 0
+    size = F.when(complete, F.col("__listed").cast("long")).otherwise(F.col("__mean"))
+    source = F.when(complete, F.lit("listed")).otherwise(F.lit("local_mean"))
+    return out.select(shard_col, "wanted_rows", "present", F.when(~F.col("present"), size).alias("missing_bytes"), source.alias("size_source"))
+
+
+def disk_budget(plan: DataFrame, *, bytes_per_row: float, free_bytes: int, headroom: float = 0.10) -> DataFrame:
+    """One row: what a shard plan needs if all shards are kept, and at the peak if each goes once it is packed.
+
+    Headroom is a share of the free disk that stays free.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    sums = plan.agg(
+        zero(F.sum("missing_bytes")).alias("missing_bytes"), zero(F.max("missing_bytes")).alias("largest_bytes"),
+        zero(F.bround(F.sum("wanted_rows") * F.lit(float(bytes_per_row)), 0)).alias("packed_bytes"),
     )
+    keep, peak, usable = F.col("missing_bytes") + F.col("packed_bytes"), F.col("packed_bytes") + F.col("largest_bytes"), F.lit(free_bytes * (1.0 - headroom))
+    return sums.select("*", keep.alias("keep_bytes"), (keep <= usable).alias("keep_fits"), peak.alias("streaming_bytes"), (peak <= usable).alias("streaming_fits"))
 
 
 def ingest_actions(plan: DataFrame, marker: str = "has_marker", file: str = "has_file") -> DataFrame:

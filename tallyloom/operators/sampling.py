@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import keys
-from tallyloom.operators.windows import bucket_of, round_robin, top_per_group
+from tallyloom.operators.windows import bucket_count, round_robin, top_per_group
 
 RATIOS = {"train": 0.70, "dev": 0.15, "test": 0.15}
 
@@ -103,9 +103,13 @@ def two_level_quota(full: DataFrame, total: int, *, split_col: str, category_col
 
 
 def quota_sample(candidates: DataFrame, quotas: DataFrame, seed: int, *, id_col: str, by: Sequence[str]) -> DataFrame:
-    """Of each group the first rows by stable key, as many as its quota; a zero quota gives none."""
-    w = Window.partitionBy(*by).orderBy(keys.row_key(seed, F.col(id_col)), F.col(id_col).cast("string"))
-    ranked = candidates.withColumn("__rn", F.row_number().over(w))
+    """Of each group the first rows by stable key, as many as its quota; a zero quota gives none.
+
+    Groups are cut at the largest quota before the shuffle.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    order = [keys.row_key(seed, F.col(id_col)), F.col(id_col).cast("string")]
+    ranked = top_per_group(candidates, by, order, int(most), "__rn")
     return ranked.join(quotas, list(by)).where(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
 
 
@@ -140,12 +144,13 @@ def epoch_batches(df: DataFrame, seed: int, epoch: int, batch: int, *, id_col: s
     """
     keyed = df.withColumn("__hex", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(id_col).cast("string")), 256))
     keyed = keyed.withColumn("__order", F.conv(F.substring("__hex", 1, 13), 16, 10).cast("double"))
-    keyed = keyed.withColumn("__bucket", bucket_of(keyed, "__order"))
+    buckets = bucket_count(df.count())
+    keyed = keyed.withColumn("__bucket", F.floor(F.col("__order") / F.lit(float(1 << 52)) * buckets))  # keys are spread evenly
     sizes = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     sizes = sizes.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__hex", F.col(id_col).cast("string")))
-    placed = keyed.join(F.broadcast(sizes), F.col("__bucket") == F.col("__b"))  # at most BUCKETS rows
+    placed = keyed.join(F.broadcast(sizes), F.col("__bucket") == F.col("__b"))  # a row for each bucket
     placed = placed.withColumn("position", F.col("__before") + inside - 1).withColumn("batch", F.floor(F.col("position") / batch))
     out = placed.where(F.col("batch") >= cursor).drop("__hex", "__order", "__bucket", "__b", "__before")
     if drop_last:

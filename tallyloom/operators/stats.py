@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import cleaned, first_part
+from tallyloom.operators.windows import running_totals
 
 
 def profile(df: DataFrame, *, id_col: str, entity_col: str, category_col: str, categories: Sequence[str] = (), path_check: bool = False) -> DataFrame:
@@ -48,23 +49,39 @@ def rows_per_entity(df: DataFrame, entity_col: str) -> DataFrame:
 
 
 def exact_quantile(col: str | Column, p: float) -> Column:
-    """Linearly interpolated quantile; an exact aggregate that merges counts of equal values."""
+    """Linearly interpolated quantile as an aggregate; its buffer holds the distinct values, so they should be few.
+
+    ``linear_quantiles`` has no such bound.
+    """
     return F.percentile(F.col(col) if isinstance(col, str) else col, F.lit(p))
 
 
-def nearest_rank(df: DataFrame, col: str, p: float, by: Sequence[str] = ()) -> DataFrame:
-    """The value of rank ``ceil(p n)``: not interpolated, so not the same as ``exact_quantile``.
+def _ranked(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values with ``n``, ``n_upto`` and ``n_total`` of their group; running counts go by range buckets."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias(col)).agg(F.count("*").alias("n"))
+    return running_totals(counts, by, col, ["n"])
+
 
-    Equal values are counted first; the running count is over distinct values of a group.
+def linear_quantiles(df: DataFrame, col: str, ps: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Per group the linearly interpolated quantile for each name of ``ps``, and ``n``, the number of values.
+
+    The two order statistics next to ``p (n - 1)`` are read off running counts, so no task holds a group.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+    first, total = F.col("n_upto") - F.col("n"), F.col("n_total")
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("n_upto")), F.col(col)))
+    out = []
+    for name, p in ps.items():
+        place = F.lit(p) * (total - 1)
+        low, high = F.floor(place), F.ceil(place)
+        after, before = F.max(place - low), F.max(high - place)
+        out.append(F.when(after == 0, at(low)).otherwise(before * at(low) + after * at(high)).alias(name))
+    return _ranked(df, col, by).groupBy(*by).agg(*out, F.max(total).alias("n"))
+
 
-    whole = Window.partitionBy(*by)
-    running = whole.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumns({"upto": F.sum("n").over(running), "total": F.sum("n").over(whole)})
-    found = ranked.where(F.col("upto") >= F.ceil(F.lit(p) * F.col("total"))).groupBy(*by)
-    return found.agg(F.min(col).alias("value"), F.first("total").alias("n"))
+def nearest_rank(df: DataFrame, col: str, p: float, by: Sequence[str] = ()) -> DataFrame:
+    """The value of rank ``ceil(p n)``: not interpolated, so not the same as ``linear_quantiles``."""
+    found = _ranked(df, col, by).where(F.col("n_upto") >= F.ceil(F.lit(p) * F.col("n_total"))).groupBy(*by)
+    return found.agg(F.min(col).alias("value"), F.max("n_total").alias("n"))
 
 
 def distribution(df: DataFrame, category_col: str, negative: str | None = None) -> DataFrame:
@@ -139,11 +156,13 @@ def numeric_summaries(df: DataFrame, measures: Sequence[str], flags: Sequence[st
 def duration_stats(df: DataFrame, category_col: str, samples: Column, rate: Column) -> DataFrame:
     """Seconds by category: count, minimum, median, mean, 95th percentile, maximum, total hours; bad rates aside."""
     d = df.where((rate > 0) & samples.isNotNull()).select(F.col(category_col).alias("category"), (samples / rate).alias("s"))
-    return d.groupBy("category").agg(
-        F.count("*").alias("rows"), F.min("s").alias("min_seconds"), exact_quantile("s", 0.5).alias("median_seconds"),
-        F.avg("s").alias("mean_seconds"), exact_quantile("s", 0.95).alias("p95_seconds"), F.max("s").alias("max_seconds"),
+    plain = d.groupBy("category").agg(
+        F.count("*").alias("rows"), F.min("s").alias("min_seconds"), F.avg("s").alias("mean_seconds"), F.max("s").alias("max_seconds"),
         (F.sum("s") / 3600.0).alias("total_hours"),
     )
+    found = linear_quantiles(d, "s", {"median_seconds": 0.5, "p95_seconds": 0.95}, ["category"]).drop("n").withColumnRenamed("category", "__c")
+    joined = plain.join(found, plain["category"].eqNullSafe(found["__c"]))
+    return joined.select("category", "rows", "min_seconds", "median_seconds", "mean_seconds", "p95_seconds", "max_seconds", "total_hours")
 
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows that a range bucket is to have, and how many buckets there are at least and at most.
+BUCKET_ROWS = 500_000
+BUCKETS = (16, 4096)
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -30,13 +32,19 @@ def round_robin(df: DataFrame, by: str, order: Sequence[Column], priority: Seque
     return ranked.withColumn("__place", place).orderBy("__rank", "__place").limit(n).drop("__rank", "__place")
 
 
-def bucket_of(df: DataFrame, order_col: str, buckets: int = BUCKETS) -> Column:
+def bucket_count(rows: int) -> int:
+    """Buckets for so many rows."""
+    return min(BUCKETS[1], max(BUCKETS[0], -(-rows // BUCKET_ROWS)))
+
+
+def bucket_of(df: DataFrame, order_col: str, buckets: int | None = None) -> Column:
     """Range bucket of a numeric order column, from approximate quantiles (at most ``buckets`` numbers reach the driver)."""
-    cuts = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 0.005))) if buckets > 1 else []
+    buckets = bucket_count(df.count()) if buckets is None else buckets
+    cuts = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
     return F.array_size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order_col)))
 
 
-def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Sequence[str], *, descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Sequence[str], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Adds ``{c}_upto`` (running sum, own row included), ``{c}_total`` and ``prev_{order}`` per group.
 
     Order values must be distinct within a group.  Buckets are summed first (a few rows for each group), their
@@ -65,9 +73,16 @@ def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Seque
 
 
 def average_rank(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Adds ``avg_rank``: the mean rank of equal values."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("avg_rank", F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / F.lit(2.0))
+    """Adds ``avg_rank``: the mean rank of equal values, null for null ones.
+
+    Ranks come from running counts of the distinct values, which are joined back.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("n"))
+    ranks = running_totals(counts, by, "__v", ["n"]).select(
+        *[F.col(c).alias(f"__r_{c}") for c in by], "__v", (F.col("n_upto") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank")
+    )
+    on = [F.col(col).cast("double") == F.col("__v"), *[F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by]]
+    return df.join(ranks, on, "left").drop("__v", *[f"__r_{c}" for c in by])
 
 
 def sequence_gaps(df: DataFrame, by: Sequence[str], index_col: str, offset_col: str, length_col: str) -> DataFrame:

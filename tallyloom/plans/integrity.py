@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions import keys, text
-from tallyloom.functions.hashing import set_digest
+from tallyloom.functions import hashing, keys, text
 from tallyloom.operators import dedup, joins, planning, sets, stats, validation
-from tallyloom.operators.windows import top_per_group
 from tallyloom.plans.registry import query, table
 from tallyloom.session import materialize
 
@@ -322,26 +320,40 @@ def path_prefix_check(spark, d):
     return table(spark, d, "pages").select("page_id", text.first_part(path).alias("first_part"))
 
 
-@query("shard_need_plan", """
-WITH need AS (SELECT doc_id % 16 AS shard, count(*) AS wanted_rows FROM documents WHERE lang <> 'en' GROUP BY 1),
-size AS (SELECT doc_id % 16 AS shard, sum(n_chars)::DOUBLE AS bytes FROM documents WHERE doc_id % 16 <> 5 GROUP BY 1)
-SELECT shard, wanted_rows, shard < 4 AS present, round(coalesce(bytes, (SELECT avg(bytes) FROM size)), 6) AS bytes,
-  round(CASE WHEN shard < 4 THEN 0 ELSE coalesce(bytes, (SELECT avg(bytes) FROM size)) * 1.1::DOUBLE END, 6) AS budget_bytes
-FROM need LEFT JOIN size USING (shard)""")
-def shard_need_plan(spark, d):
+SHARD_SQL = """
+WITH d AS (SELECT doc_id % 16 AS shard, lang, n_chars FROM documents),
+need AS (SELECT shard, count(*) AS wanted_rows FROM d WHERE lang <> 'en' GROUP BY 1),
+size AS (SELECT shard, sum(n_chars)::BIGINT AS bytes FROM d GROUP BY 1),
+mean AS (SELECT round_even(avg(bytes), 0)::BIGINT AS bytes FROM size WHERE shard < 4)
+"""
+
+
+def _shard_plan(spark, d, unlisted=()):
     df = docs(spark, d).select("lang", "n_chars", (F.col("doc_id") % 16).alias("shard"))
-    sizes = df.where("shard <> 5").groupBy("shard").agg(F.sum("n_chars").alias("bytes"))
-    out = planning.shard_plan(df.where("lang <> 'en'"), df.where("shard < 4"), sizes)
-    return out.withColumns({"bytes": F.round("bytes", 6), "budget_bytes": F.round("budget_bytes", 6)})
+    sizes = df.groupBy("shard").agg(F.sum("n_chars").alias("bytes"))
+    return planning.shard_plan(df.where("lang <> 'en'"), sizes.where("shard < 4"), sizes.where(~F.col("shard").isin(*unlisted)) if unlisted else sizes)
+
+
+@query("shard_need_plan", SHARD_SQL + """
+SELECT shard, wanted_rows, shard < 4 AS present, CASE WHEN shard >= 4 THEN (SELECT bytes FROM mean) END AS missing_bytes, 'local_mean' AS size_source FROM need""")
+def shard_need_plan(spark, d):
+    return _shard_plan(spark, d, unlisted=(5,))
+
+
+@query("shard_disk_budget", SHARD_SQL + """
+, m AS (SELECT coalesce(sum(bytes), 0)::BIGINT AS missing_bytes, coalesce(max(bytes), 0)::BIGINT AS largest FROM need JOIN size USING (shard) WHERE shard >= 4),
+p AS (SELECT round_even(sum(wanted_rows) * 12.5::DOUBLE, 0)::BIGINT AS packed_bytes FROM need)
+SELECT missing_bytes, largest AS largest_bytes, packed_bytes, missing_bytes + packed_bytes AS keep_bytes, missing_bytes + packed_bytes <= 900000::DOUBLE AS keep_fits,
+  packed_bytes + largest AS streaming_bytes, packed_bytes + largest <= 900000::DOUBLE AS streaming_fits FROM m, p""")
+def shard_disk_budget(spark, d):
+    return planning.disk_budget(_shard_plan(spark, d), bytes_per_row=12.5, free_bytes=1_000_000)
 
 
 @query("selection_digest", """
-WITH k AS (SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('2026|' || doc_id::VARCHAR), doc_id) <= 25)
-SELECT lang, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS rows FROM k GROUP BY lang""")
+WITH h AS (SELECT lang, sha256(doc_id::VARCHAR) AS h FROM documents)
+SELECT lang, count(*)::VARCHAR || '-' || sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR AS digest, count(*) AS rows FROM h GROUP BY lang""")
 def selection_digest(spark, d):
-    order = [keys.row_key(SEED, F.col("doc_id")), F.col("doc_id")]
-    rows = top_per_group(docs(spark, d).select("doc_id", "lang"), ["lang"], order, 25)
-    return rows.groupBy("lang").agg(set_digest(F.col("doc_id")).alias("digest"), F.count("*").alias("rows"))
+    return docs(spark, d).groupBy("lang").agg(hashing.selection_digest(F.col("doc_id")).alias("digest"), F.count("*").alias("rows"))
 
 
 @query("issue_report", """

@@ -200,7 +200,8 @@ def average_rank(spark, d):
 
 @query("invalid_metric_rows", f"SELECT doc_id FROM ({scored_sql()}) WHERE doc_id % 21 = 0 OR doc_id % 25 = 0")
 def invalid_metric_rows(spark, d):
-    df = scored(spark, d).withColumn("label", F.when(F.col("doc_id") % 21 == 0, 2).otherwise(F.col("label")))
+    label = F.when(F.col("doc_id") % 42 == 0, 2.0).when(F.col("doc_id") % 21 == 0, 0.6).otherwise(F.col("label"))
+    df = scored(spark, d).withColumn("label", label)
     df = df.withColumn("score", F.when(F.col("doc_id") % 25 == 0, float("nan")).otherwise(F.col("score")))
     return metrics.invalid_rows(df, "label", "score").select("doc_id")
 
@@ -208,8 +209,8 @@ def invalid_metric_rows(spark, d):
 @query("linear_quantiles", """
 SELECT event_type, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, min(value) AS low, max(value) AS high FROM events GROUP BY event_type""")
 def linear_quantiles(spark, d):
-    q = stats.exact_quantile
-    return table(spark, d, "events").groupBy("event_type").agg(q("value", 0.5).alias("median"), q("value", 0.95).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high"))
+    found = stats.linear_quantiles(table(spark, d, "events"), "value", {"median": 0.5, "p95": 0.95, "low": 0.0, "high": 1.0}, ["event_type"])
+    return found.select("event_type", "median", "p95", "low", "high")
 
 
 @query("nearest_rank_p95", """

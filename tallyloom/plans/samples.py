@@ -64,13 +64,13 @@ def two_level_quota(spark, d):
     return _quotas(spark, d)
 
 
-SAMPLE_SQL = QUOTA_SQL + f""", h AS (SELECT doc_id, {SPLIT_SQL} AS split, lang, sha256(text) AS h, sha256('2026|' || doc_id::VARCHAR) AS k FROM documents WHERE doc_id % 3 <> 0),
+SAMPLE_SQL = QUOTA_SQL + f""", h AS (SELECT doc_id, {SPLIT_SQL} AS split, lang, sha256(text) AS h, sha256('2026|' || doc_id::VARCHAR) AS k FROM documents),
 kept AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY k, doc_id::VARCHAR) = 1)
 """
 
 
 def _eligible(spark, d):
-    return dedup.content_representatives(hashed(spark, d).where("doc_id % 3 <> 0"), SEED, hash_col="h", id_col="doc_id").where("kept").select("doc_id", "split", "lang")
+    return dedup.content_representatives(hashed(spark, d), SEED, hash_col="h", id_col="doc_id").where("kept").select("doc_id", "split", "lang")
 
 
 @query("quota_sample_dedup", SAMPLE_SQL + """
@@ -80,10 +80,10 @@ def quota_sample_dedup(spark, d):
 
 
 @query("shortfall_report", SAMPLE_SQL + """
-SELECT split, lang, quota * 4 AS required, coalesce(a, 0) AS available, quota * 4 - coalesce(a, 0) AS missing
-FROM q LEFT JOIN (SELECT split, lang, count(*) AS a FROM kept GROUP BY ALL) USING (split, lang) WHERE coalesce(a, 0) < quota * 4""")
+SELECT split, lang, quota * 9 AS required, coalesce(a, 0) AS available, quota * 9 - coalesce(a, 0) AS missing
+FROM q LEFT JOIN (SELECT split, lang, count(*) AS a FROM kept GROUP BY ALL) USING (split, lang) WHERE coalesce(a, 0) < quota * 9""")
 def shortfall_report(spark, d):
-    quotas = _quotas(spark, d).withColumn("quota", F.col("quota") * 4)
+    quotas = _quotas(spark, d).withColumn("quota", F.col("quota") * 9)
     return sampling.shortfalls(_eligible(spark, d), quotas, ["split", "lang"])
 
 

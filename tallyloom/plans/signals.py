@@ -10,6 +10,8 @@ from tallyloom.functions.hashing import content_hash, prepared_hash
 from tallyloom.functions.signal import lfcc, resampled
 from tallyloom.operators import stats
 from tallyloom.plans.registry import query, table
+from tallyloom.session import materialize, scratch_path
+from tallyloom.sources import prepared
 from tallyloom.streaming.incremental import hop_window_scores
 
 POLICIES = ("none", "peak", "rms_dbfs")
@@ -96,10 +98,10 @@ def hop_windows(spark, d):
 
 @query("zmuv_normalise", f"""
 WITH x AS (SELECT vec_id, {X} AS a FROM embeddings), m AS (SELECT vec_id, a, list_sum(a) / len(a) AS mean, list_sum(list_transform(a, lambda v: v * v)) / len(a) AS sq FROM x)
-SELECT vec_id, round((a[1] - mean) / sqrt(sq - mean * mean + 1e-7::DOUBLE), 6) AS first, round((a[64] - mean) / sqrt(sq - mean * mean + 1e-7::DOUBLE), 6) AS last FROM m""")
+SELECT vec_id, i::INTEGER AS place, round((a[i + 1] - mean) / sqrt(sq - mean * mean + 1e-7::DOUBLE), 6) AS value FROM (SELECT *, unnest(range(len(a))) AS i FROM m)""")
 def zmuv_normalise(spark, d):
     df = arrays_of(spark, d).withColumn("n", arrays.normalised(F.col("a")))
-    return df.select("vec_id", F.round(F.element_at("n", 1), 6).alias("first"), F.round(F.element_at("n", 64), 6).alias("last"))
+    return df.select("vec_id", F.posexplode("n").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("waveform_summary", f"""
@@ -137,13 +139,52 @@ def content_hash_array(spark, d):
 
 @query("resample_arrays")
 def resample_arrays(spark, d):
-    return arrays_of(spark, d).select("vec_id", F.size(resampled(F.col("a"), F.lit(24000))).alias("samples"))
+    out = arrays_of(spark, d).select("vec_id", F.posexplode(resampled(F.col("a"), F.lit(24000))).alias("place", "value"))
+    return out.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query("lfcc_features")
 def lfcc_features(spark, d):
     f = arrays_of(spark, d).select("vec_id", lfcc(arrays.fixed_length(F.col("a"), 1600)).alias("f"))
-    return f.select("vec_id", F.size("f").alias("coefficients"), F.size(F.get("f", F.lit(0))).alias("frames"), F.round(F.get(F.get("f", F.lit(0)), F.lit(0)), 4).alias("first"))
+    rows = f.select("vec_id", F.posexplode("f").alias("coefficient", "row"))
+    return rows.select("vec_id", "coefficient", F.posexplode("row").alias("frame", "value")).withColumn("value", F.round("value", 4))
+
+
+def _store(spark, d):
+    """A prepared table after selections of one shard, of all, and of all again; and the audit rows of the last."""
+    path = scratch_path(spark, "prepared")
+    rows = arrays_of(spark, d).select(F.col("vec_id").cast("string").alias("file"), (F.col("vec_id") % 8).cast("string").alias("shard"), F.col("a").cast("array<double>").alias("samples"))
+    rows = materialize(rows.withColumn("sampling_rate", F.lit(16000).cast("long")), "source")
+    wanted = rows.select("shard", "file")
+    for selection in (wanted.where("shard = '3'"), wanted, wanted):
+        last = prepared.ingest(rows, selection, path)
+    return spark.read.option("recursiveFileLookup", "false").schema("file string, samples array<float>, native_sample_rate long, content_sha256 string, num_samples int, waveform_sha256 string, shard string").parquet(path), last
+
+
+@query("prepared_store", """
+SELECT vec_id::VARCHAR AS file, (vec_id % 8)::VARCHAR AS shard, 16000::BIGINT AS native_sample_rate, len(embedding)::INTEGER AS num_samples,
+  round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) AS total, 0::BIGINT AS written_again FROM embeddings""")
+def prepared_store(spark, d):
+    ready, last = _store(spark, d)
+    total = F.round(F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v.cast("double")), 5)
+    return ready.select("file", "shard", "native_sample_rate", "num_samples", total.alias("total"), F.lit(last.count()).alias("written_again"))
+
+
+@query("assembled_samples", "SELECT vec_id AS source_index, vec_id::VARCHAR AS file, len(embedding)::INTEGER AS num_samples FROM embeddings")
+def assembled_samples(spark, d):
+    """Assembly hashes every row's samples again; a difference would fail the query."""
+    ready, _ = _store(spark, d)
+    manifest = arrays_of(spark, d).select(F.col("vec_id").alias("source_index"), F.col("vec_id").cast("string").alias("file"), F.lit(16000).cast("long").alias("native_sample_rate"))
+    return prepared.assemble(manifest, ready, check=("native_sample_rate",)).select("source_index", "file", F.size("samples").alias("num_samples"))
+
+
+@query("rehash_differences", "SELECT vec_id::VARCHAR AS file FROM embeddings WHERE embedding[1] > 0")
+def rehash_differences(spark, d):
+    """Rows whose first sample was positive had it changed after they were prepared."""
+    ready, _ = _store(spark, d)
+    first = F.get("samples", F.lit(0))
+    changed = F.concat(F.array((first * 2 + 1).cast("float")), F.expr("slice(samples, 2, greatest(size(samples) - 1, 0))"))
+    return prepared.rehash_mismatches(ready.withColumn("samples", F.when(first > 0, changed).otherwise(F.col("samples")))).select("file")
 
 
 @query("event_hop_windows", """

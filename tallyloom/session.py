@@ -34,10 +34,13 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) the session gets a local folder of its own.
+    Only where the setting is absent and the master is local (tests on one machine) the session gets a local folder of its
+    own; executors of a cluster would not see one, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tallyloom-"))
     return path.rstrip("/")

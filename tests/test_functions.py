@@ -34,15 +34,24 @@ def gain(spark, values, policy):
     return g, out
 
 
-def test_gain_policies(spark):
-    g, out = gain(spark, [0.1, -0.5, 0.25], "peak")
-    assert out == pytest.approx(0.95)
-    g, _ = gain(spark, [0.1] * 1600, "rms_dbfs")
-    assert 20 * math.log10(0.1 * g.applied_gain) == pytest.approx(-25, abs=1e-4)
-    g, _ = gain(spark, [1e-4] * 1000, "rms_dbfs")
-    assert g.near_silence and g.applied_gain == 1
-    g, out = gain(spark, [1.0] + [0.0] * 9999, "rms_dbfs")
-    assert out <= 0.950001
+@pytest.mark.parametrize("seed", range(4))
+def test_gain_policies(spark, seed):
+    """Random arrays, loud, quiet and spiked, against the rules in plain floats."""
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=200) * (0.002, 0.03, 0.4, 0.02)[seed]
+    if seed == 3:
+        a[50] = 0.9
+    a = a.astype(np.float32).astype(float).clip(-1, 1)
+    peak, db = np.abs(a).max(), 20 * math.log10(math.sqrt((a**2).mean()))
+    for policy in ("none", "peak", "rms_dbfs"):
+        g, out = gain(spark, a.tolist(), policy)
+        quiet = db < -50
+        want = 1.0
+        if policy == "peak" and not quiet:
+            want = 0.95 / peak
+        if policy == "rms_dbfs" and not quiet:
+            want = min(10 ** ((-25 - db) / 20), 0.95 / peak)
+        assert g.near_silence == quiet and g.applied_gain == pytest.approx(want, rel=1e-5) and out == pytest.approx(peak * want, rel=1e-4)
 
 
 def test_fixed_length(spark):

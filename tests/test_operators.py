@@ -1,5 +1,8 @@
 """Operators on small tables with known results."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,38 +33,53 @@ def test_largest_remainder_rejects_negative_weights(spark):
 
 
 def test_balanced_subset_spreads_positives(spark):
-    sizes = {"neg": 12, "a": 8, "b": 8, "c": 8}
-    rows = [(f"{k}{i}", k) for k, n in sizes.items() for i in range(n)]
-    for data in (rows, rows[::-1]):
-        out = sampling.balanced_subset(spark.createDataFrame(data, "id string, k string"), 2026, "dev", 9, id_col="id", category_col="k", negative="neg", positives=("a", "b", "c"))
-        got = sorted((r.position, r.id) for r in out.collect())
-        counts = {k: sum(1 for _, i in got if i.startswith(k)) for k in sizes}
-        assert counts == {"neg": 9, "a": 3, "b": 3, "c": 3}
-        if data is rows:
-            first = got
-    assert first == got
-
-
-def ledger_rows(spark, rows):
-    return spark.createDataFrame(rows, "id string, h string")
+    rng = random.Random(17)
+    for per_class in (5, 14):
+        sizes = {"none": 20, "north": rng.randrange(1, 4), "east": rng.randrange(6, 9), "south": rng.randrange(4, 20)}
+        rows = [(f"{k}-{i}", k) for k, n in sizes.items() for i in range(n)]
+        want = dict.fromkeys(sizes, 0) | {"none": per_class}
+        while sum(want.values()) < 2 * per_class and any(want[k] < sizes[k] for k in list(sizes)[1:]):  # in turn
+            for k in list(sizes)[1:]:
+                want[k] += want[k] < sizes[k] and sum(want.values()) < 2 * per_class
+        seen = set()
+        for _ in range(2):
+            rng.shuffle(rows)
+            out = sampling.balanced_subset(spark.createDataFrame(rows, "id string, k string"), 31, "dev", per_class, id_col="id", category_col="k", negative="none", positives=("north", "east", "south"))
+            got = sorted((r.position, r.id, r.k) for r in out.collect())
+            assert {k: sum(x[2] == k for x in got) for k in sizes} == want and [x[0] for x in got] == list(range(len(got)))
+            seen.add(tuple(got))
+        assert len(seen) == 1  # whatever the order of the input
 
 
 def test_evaluation_precedence(spark):
-    train = ledger_rows(spark, [("x", "HT")])
-    dev = ledger_rows(spark, [("d1", "H1"), ("d2", "HT"), ("d3", "H2"), ("d4", "H2")])
-    test = ledger_rows(spark, [("t1", "H1"), ("t2", "HT"), ("t3", "H5"), ("t4", "H5"), ("t5", "H6")])
-    out = {r.id: r.decision for r in dedup.evaluation_ledger(train, dev, test, 2026, hash_col="h", id_col="id").collect()}
-    assert out["d2"] == out["t2"] == "train_overlap" and out["t1"] == "dev_overlap" and out["d1"] == out["t5"] == "kept"
-    assert sorted((out["d3"], out["d4"])) == sorted((out["t3"], out["t4"])) == ["internal_duplicate", "kept"]
+    """Random ledgers against a loop: overlap with train, then with dev (for test), then one row of a content stays."""
+    rng = random.Random(23)
+    make = lambda split, n: [(f"{split}{i:02d}", f"c{rng.randrange(25)}") for i in range(n)]
+    parts = {split: make(split, n) for split, n in (("train", 8), ("dev", 25), ("test", 30))}
+    frames = [spark.createDataFrame(rows, "id string, h string") for rows in parts.values()]
+    got = {r.id: r.decision for r in dedup.evaluation_ledger(*frames, 5, hash_col="h", id_col="id").collect()}
+    train, dev = ({h for _, h in parts[s]} for s in ("train", "dev"))
+    assert set(got) == {i for s in ("dev", "test") for i, _ in parts[s]}
+    for split in ("dev", "test"):
+        groups = {}
+        for i, h in parts[split]:
+            if h in train:
+                assert got[i] == "train_overlap"
+            elif split == "test" and h in dev:
+                assert got[i] == "dev_overlap"
+            else:
+                groups.setdefault(h, []).append(got[i])
+        assert all(sorted(g) == ["internal_duplicate"] * (len(g) - 1) + ["kept"] for g in groups.values())
 
 
 def test_loss_limit_is_strict(spark):
-    def stop(unique):
-        rows = [("train_overlap",)] + [("kept",)] * unique
-        df = spark.createDataFrame(rows, "decision string").withColumns({"split": F.lit("dev"), "k": F.lit("a")})
-        return dedup.ledger_losses(df, "k").first().stop
-
-    assert stop(9) and not stop(19)
+    found = {}
+    for lost, kept in ((1, 3), (1, 30), (4, 100), (30, 1)):
+        rows = [("internal_duplicate",)] * lost + [("kept",)] * kept
+        df = spark.createDataFrame(rows, "decision string").withColumns({"split": F.lit("test"), "k": F.lit("b")})
+        found[lost / (lost + kept)] = dedup.ledger_losses(df, "k").first().stop
+    shares = sorted(found)
+    assert [found[s] for s in shares] == sorted(found.values()) and found[shares[-1]] and not found[shares[0]]
 
 
 def test_duplicate_groups_cross_columns(spark):
@@ -111,6 +129,21 @@ def test_quantiles(spark):
     assert stats.nearest_rank(df, "v", 0.95).first().value == 5
 
 
+def test_quantiles_and_ranks_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BUCKET_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice("xyz"), float(rng.randrange(40))) for _ in range(300)] + [("w", 2.5), ("x", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    held = {g: sorted(v for k, v in rows if k == g and v is not None) for g in "wxyz"}
+    for r in stats.linear_quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.95, "d": 1.0}, ["g"]).collect():
+        assert (r.a, r.b, r.c, r.d) == pytest.approx(tuple(np.quantile(held[r.g], [0.1, 0.5, 0.95, 1.0]))) and r.n == len(held[r.g])
+    whole = sorted(v for _, v in rows if v is not None)
+    assert stats.linear_quantiles(df, "v", {"m": 0.5}).first().m == np.quantile(whole, 0.5)
+    for r in windows.average_rank(df, ["g"], "v").collect():
+        xs = held[r.g]
+        assert r.avg_rank == (None if r.v is None else xs.index(r.v) + 1 + (xs.count(r.v) - 1) / 2)
+
+
 def test_table_issues_and_require(spark):
     df = spark.createDataFrame([("e1/a.wav", "e1", "x"), ("e1/a.wav", "e1", "x"), ("./e2/b.wav", "e2", "bad"), ("e3/c.wav", "e4", "x"), (None, "e5", "x")], "id string, e string, k string")
     found = validation.table_issues(df, id_col="id", entity_col="e", category_col="k", categories=("x",))

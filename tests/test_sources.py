@@ -77,6 +77,17 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert prepared.rehash_mismatches(broken).count() == 3
 
 
+def test_ingest_follows_the_selection_and_the_rate(spark, tmp_path):
+    table = str(tmp_path / "prepared")
+    pick = lambda *files: source_rows(spark).where(F.col("file").isin(*files)).select("shard", "file")
+    for files in (("a",), ("a", "b"), ("a",), ("a", "d"), ("c",)):
+        written = prepared.ingest(source_rows(spark), pick(*files), table)
+        assert {r.file for r in spark.read.parquet(table).collect()} == set(files) and written.count() == 1
+        assert prepared.ingest(source_rows(spark), pick(*files), table).count() == 0
+    assert prepared.ingest(source_rows(spark), pick("c"), table, rate=8000).count() == 1
+    assert [(r.file, r.num_samples) for r in spark.read.parquet(table).collect()] == [("c", 4)]
+
+
 def test_ingest_refuses_missing_ids(spark, tmp_path):
     wanted = spark.createDataFrame([("s0", "zz")], "shard string, file string")
     with pytest.raises(ValueError, match="missing"):
@@ -86,10 +97,16 @@ def test_ingest_refuses_missing_ids(spark, tmp_path):
 def test_assembly_checks_metadata(spark):
     columns = "file string, split string, speaker_id string, utt_type string, binary_label int, native_sample_rate int"
     manifest = spark.createDataFrame([("a", "dev", "e", "x", 0, 16000)], columns).withColumn("source_index", F.lit(0))
-    ready = spark.createDataFrame([("a", "dev", "e", "x", 0, 16000, [0.5], 1, "w", "c")], columns + ", samples array<float>, num_samples int, waveform_sha256 string, content_sha256 string")
+    import hashlib
+    import struct
+
+    w = hashlib.sha256(struct.pack("<f", 0.5)).hexdigest()
+    ready = spark.createDataFrame([("a", "dev", "e", "x", 0, 16000, [0.5], 1, w, "c")], columns + ", samples array<float>, num_samples int, waveform_sha256 string, content_sha256 string")
     assert prepared.assemble(manifest, ready).first().samples == [0.5]
     with pytest.raises(Exception, match="not prepared"):
         prepared.assemble(manifest, ready.withColumn("split", F.lit("test"))).collect()
+    with pytest.raises(Exception, match="not prepared"):  # samples that their hash doesn't fit
+        prepared.assemble(manifest, ready.withColumn("samples", F.expr("array(0.25F)"))).collect()
 
 
 def test_structure_and_guard(spark):
