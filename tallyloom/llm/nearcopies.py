@@ -9,7 +9,9 @@ candidate pair of either search is verified with both whole sets.
 
 A bucket with a large group is not compared pair by pair at first.  In a star round each member meets one member
 of its bucket, and what links becomes one component; pairs inside a component need no more comparing.  Other rounds
-choose other centres, until the pairs left are few or a round settles less than half; then every pair left is verified.
+choose other centres, until the pairs left are few or a round settles less than half.  Then the rest is compared whole, but
+never as a table of pairs: members of a bucket are dealt to blocks of bounded size, a task intersects two blocks as matrices
+and passes on only links, at most one for each member.  Buckets of ``SMALL`` members or fewer go as pairs.
 So components are those of all similar pairs that share a bucket or are within the trees' radius.  The first star
 round takes the trees' pairs along.
 
@@ -37,8 +39,12 @@ BANDS, ROWS = 25, 5
 SEED = 42
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members up to which a bucket goes as pairs; members and shingles that a block of a larger one is to have.
+SMALL = 16
+BLOCK_ROWS, BLOCK_HASHES = 1024, 400_000
 _PART = 2048  # shingles sketched at a time, so that very long texts need bounded memory
 _LAST = (1 << 63) - 1
+_WIDTH = 2048  # columns of a block's matrix at a time
 
 
 def shingle_set(parts: list[np.ndarray]) -> np.ndarray:
@@ -96,6 +102,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.where(shared >= F.lit(SIMILARITY) * union).select("u", "v"), "similar")
 
 
+def _block_links(block: pa.Table) -> pa.Table:
+    """Links ``(u, v)`` that connect all similar rows of two blocks (or of one) with different roots."""
+    key, n, root, own = (block.column(c).to_numpy() for c in ("key", "n", "root", "block"))
+    i, j, m = block.column("i")[0].as_py(), block.column("j")[0].as_py(), block.num_rows
+    lists = block.column("hashes").combine_chunks()
+    _, at, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = often > 1  # others are in no intersection
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(m), lists.value_lengths().to_numpy())[shared[at]]
+    at = column[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((m, m), np.float32)
+    for start in range(0, int(shared.sum()), _WIDTH):
+        a, b = np.searchsorted(at, [start, start + _WIDTH])
+        held = np.zeros((m, _WIDTH), np.float32)
+        held[row[a:b], at[a:b] - start] = 1
+        both += held @ held.T
+    similar = both >= SIMILARITY * (n[:, None] + n[None, :] - both.astype(np.float64))
+    similar &= (root[:, None] != root[None, :]) & (own[:, None] == i) & (own[None, :] == j)
+    parent, found = list(range(m)), []
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in np.argwhere(similar).tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((a, b))
+    pairs = np.sort(key[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within buckets, for ``members(bucket, key, n, root, c, s)``: c members and s shingles in the bucket."""
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    rows = members.select("bucket", "key", "n", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
+    return rows.join(sets.hint("merge"), "key").groupBy("bucket", "i", "j").applyInArrow(_block_links, "u long, v long")
+
+
 def _fits(a: str, b: str):
     """Whether two set sizes allow the similarity at all."""
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
@@ -123,32 +175,36 @@ def groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataF
     linked = edges.select(F.col("u").alias("key"), F.col("v").alias("root"))
     while True:
         # only buckets that hold several components have pairs left
-        sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket")
-        sizes = sizes.agg(F.count("*").alias("roots"), F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("own")).where("roots > 1")
-        sizes = materialize(sizes.select("bucket", "c", (F.col("c") * F.col("c") - F.col("own")).alias("cross")), "sizes")
+        sizes = left.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("bucket")
+        sizes = sizes.agg(F.count("*").alias("roots"), F.sum("k").alias("c"), F.sum("n").alias("s"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        sizes = materialize(sizes.where("roots > 1").select("bucket", "c", "s", (F.col("c") * F.col("c") - F.col("own")).alias("cross")), "sizes")
         rows, pairs = sizes.agg(F.sum("c"), F.sum("cross") / 2).first()
         if not rows and turn:
             break
         rows, pairs = rows or 0, pairs or 0
-        left = materialize(left.join(sizes.select("bucket"), "bucket", "left_semi"), "open")
+        left = materialize(left.join(sizes.select("bucket", "c", "s"), "bucket"), "open")
         last = bool(turn) and (pairs <= 4 * rows or not found or pairs > before / 2)
         before = pairs
         if last:
-            other = left.select("bucket", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-            candidates = left.join(other, "bucket").where("key < v AND root <> r")
+            few = left.where(F.col("c") <= SMALL)
+            other = few.select("bucket", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
+            candidates = few.join(other, "bucket").where("key < v AND root <> r")
         else:
             order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"))
-            stars = materialize(left.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.v", "c.m", "c.r"), "stars")
+            stars = materialize(left.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", "o.v", "o.m", "o.r"), "stars")
             candidates = left.join(stars, "bucket").where("root <> r")
         candidates = candidates.where(_fits("n", "m")).select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v"))
         candidates = candidates if turn else candidates.unionByName(near)
         similar = verified(materialize(candidates.distinct(), "candidates"), sets)
+        if last:
+            similar = materialize(similar.unionByName(block_links(left.where(F.col("c") > SMALL), sets)).distinct(), "rest")
         found = similar.count()
         if found:
             edges = materialize(edges.unionByName(similar), "links") if turn else similar
             linked = materialize(components(edges).withColumnRenamed("node", "key"), "linked")
         if last:
             break
+        left = left.drop("c", "s")
         if found:
             left = left.drop("root").join(linked, "key", "left").withColumn("root", F.coalesce("root", "key"))
             left = materialize(left, "left")

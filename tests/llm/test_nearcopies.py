@@ -71,6 +71,25 @@ def test_one_large_group_is_no_square(spark):
     assert {r.doc_id for r in nearcopies.representatives(df).collect()} == slow(rows)
 
 
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    """Copies of one text whose edits leave most pairs near, but not at, the threshold."""
+    monkeypatch.setattr(nearcopies, "SMALL", 2)
+    monkeypatch.setattr(nearcopies, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearcopies, "_WIDTH", 64)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = {}
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice([2, 4, 5, 6, 7])):
+            words[k] = f"x{i}"
+        rows[i] = " ".join(words)
+    want = slow(rows)
+    assert 10 < len(want) < 110
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.representatives(df).collect()} == want
+
+
 def test_edge_cases(spark):
     rows = [(5, None), (3, ""), (None, "  "), (9, "a b c d e"), (9, "a b c d e"), (None, "z y x w v u t"), (11, "m " * 40_000), (2, "A B C D E")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
