@@ -41,7 +41,7 @@ _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members up to which a bucket goes as pairs; members and shingles that a block of a larger one is to have.
 SMALL = 16
-BLOCK_ROWS, BLOCK_HASHES = 1024, 400_000
+BLOCK_ROWS, BLOCK_HASHES = 512, 400_000
 _PART = 2048  # shingles sketched at a time, so that very long texts need bounded memory
 _LAST = (1 << 63) - 1
 _WIDTH = 2048  # columns of a block's matrix at a time
