@@ -182,6 +182,24 @@ def head_with_both(df: DataFrame, n: int, *, index_col: str, target_col: str) ->
     return kept.unionByName(added)
 
 
+def wanted_representatives(df: DataFrame, *, by: str, wanted: Sequence[str], index_col: str, target_col: str) -> DataFrame:
+    """``(position, index)`` of the first row of each wanted value of ``by``, in the order wanted; absent values give none.
+
+    If no such row has target 1, the first row of all with target 1 follows; if there is none either, nothing does.
+    One map-side combined pass; nulls of ``by`` are no value, null positions are left out.
+    """
+    rows = df.where(F.col(index_col).isNotNull())
+    place = F.when(F.col(by).isin(*wanted), F.array_position(F.array(*map(F.lit, wanted)), F.col(by))).cast("int")
+    positive = F.coalesce(F.col(target_col) == 1, F.lit(False))
+    first = F.min(F.struct(F.col(index_col).alias("i"), (~positive).alias("other")))
+    heads = rows.where(place.isNotNull()).groupBy(place.alias("position")).agg(first.alias("f"))
+    heads = heads.select("position", F.col("f.i").alias("index"), (~F.col("f.other")).alias("positive"))
+    has = heads.agg(F.coalesce(F.max(F.col("positive").cast("int")), F.lit(0)).alias("has"))
+    spare = rows.where(positive).agg(F.min(index_col).alias("index")).crossJoin(F.broadcast(has))  # two single rows
+    spare = spare.where((F.col("has") == 0) & F.col("index").isNotNull()).select(F.lit(len(wanted) + 1).alias("position"), "index")
+    return heads.select("position", "index").unionByName(spare)
+
+
 def representatives(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
     """The first row of each value of ``by``."""
     return top_per_group(df, [by], order, 1).drop("rank")

@@ -78,6 +78,19 @@ def pattern_issues(df: DataFrame, *, id_col: str, entity_col: str, category_col:
     return issue(df, name, "pattern_mismatch", bad, F.col(id_col))
 
 
+def subset_issues(df: DataFrame, *, splits: Sequence[str], split_col: str, id_col: str, entity_col: str, target_col: str, name: str = "subset") -> DataFrame:
+    """Rules of a balanced subset: as many rows of target 0 as of 1 in each of ``splits`` and some of each, no id twice in a
+    partition, no id and no entity in two.  A listed partition without rows is not balanced."""
+    listed = df.sparkSession.createDataFrame([(s,) for s in splits], f"{split_col} string")
+    zeros, ones = (F.coalesce(F.sum((F.col(target_col) == v).cast("long")), F.lit(0)) for v in (0, 1))
+    counts = listed.join(df, split_col, "left").groupBy(split_col).agg(zeros.alias("zeros"), ones.alias("ones"))
+    uneven = issue(counts, name, "not_balanced", (F.col("zeros") != F.col("ones")) | (F.col("zeros") == 0), F.col(split_col))
+    twice = df.where(F.col(id_col).isNotNull()).groupBy(split_col, id_col).agg(F.count("*").alias("k"))
+    repeated = issue(twice, name, "duplicate_id", F.col("k") > 1, F.col(id_col))
+    keys = {"id_in_splits": id_col, "entity_in_splits": entity_col}
+    return all_issues(uneven, repeated, disjoint_issues(df, split_col=split_col, keys=keys, groups=[splits], name=name))
+
+
 def disjoint_issues(df: DataFrame, *, split_col: str, keys: Mapping[str, str], groups: Sequence[Sequence[str]], name: str = "disjoint") -> DataFrame:
     """Keys that partitions share which must be disjoint; ``keys`` maps an issue code to a column."""
     allowed = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,15 +68,15 @@ def with_row_index(df: DataFrame, name: str = "_row_index") -> DataFrame:
 def index_text_lines(spark: SparkSession, path: str, name: str = "_row_index") -> DataFrame:
     """Lines of a text file in order with their position.
 
-    Positions come from one count per partition and a running offset: no task reads the whole file.
+    Positions come from one count per partition and a running offset: no task reads the whole file, and the table of
+    offsets, which is broadcast, has one row of two numbers for each partition.
     """
     lines = spark.read.text(path).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
-    counts = {r["__p"]: r["n"] for r in lines.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    offset, at = F.lit(0).cast("long"), 0
-    for p in sorted(counts):
-        offset = F.when(F.col("__p") == p, F.lit(at).cast("long")).otherwise(offset)
-        at += counts[p]
-    return lines.withColumn(name, F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + offset).drop("__p", "__i")
+    counts = lines.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("__n")
+    offsets = counts.select("__p", before.alias("__before"))
+    position = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
+    return lines.join(F.broadcast(offsets), "__p").withColumn(name, position).drop("__p", "__i", "__before")
 
 
 def scan_with_file(spark: SparkSession, path: str, *columns: str) -> DataFrame:

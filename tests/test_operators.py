@@ -169,3 +169,25 @@ def test_manifest_rules(spark):
     run = lambda rows: {r.code for r in validation.manifest_issues(spark.createDataFrame(rows, columns), splits=("train", "dev"), categories=("neg", "pos"), negative="neg").collect()}
     assert run([good]) == set()
     assert run(rows) == {"unsafe_shard", "label_mismatch", "bad_rate", "empty_entity", "unknown_split", "bad_label", "unknown_category", "several_versions", "duplicate_id", "entity_in_splits"}
+
+
+def test_wanted_representatives(spark):
+    schema = "i long, k string, y int"
+    run = lambda rows: sorted(map(tuple, sampling.wanted_representatives(
+        spark.createDataFrame(rows, schema), by="k", wanted=("a", "b"), index_col="i", target_col="y").collect()))
+    assert run([(3, "a", 0), (1, "a", 0), (2, "b", 1), (0, "c", 1)]) == [(1, 1), (2, 2)]
+    assert run([(1, "a", 0), (4, "c", 1), (2, None, 1), (None, "b", 1)]) == [(1, 1), (3, 2)]  # another row of target 1 follows
+    assert run([(1, "a", 0), (2, "b", None)]) == [(1, 1), (2, 2)]
+    assert run([]) == []
+
+
+def test_subset_issues(spark):
+    schema = "s string, f string, e string, y int"
+    rules = {"splits": ("dev", "train"), "split_col": "s", "id_col": "f", "entity_col": "e", "target_col": "y"}
+    run = lambda rows: {(r.check, r.code): r["count"] for r in validation.subset_issues(spark.createDataFrame(rows, schema), **rules).collect()}
+    good = [("train", "a", "e1", 0), ("train", "b", "e1", 1), ("dev", "c", "e2", 1), ("dev", "d", "e2", 0)]
+    assert run(good) == {}
+    assert run(good[:3]) == {("subset", "not_balanced"): 1}
+    assert run(good + [("dev", "a", "e1", 0), ("dev", "c", None, 1)]) == {
+        ("subset", "duplicate_id"): 1, ("subset:dev/train", "id_in_splits"): 1, ("subset:dev/train", "entity_in_splits"): 1}
+    assert run([]) == {("subset", "not_balanced"): 2}

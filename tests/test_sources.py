@@ -37,6 +37,13 @@ def test_line_positions(spark, tmp_path):
     p.write_text("\n".join(f"l{i}" for i in range(200)))
     got = {r.value: r._row_index for r in tables.index_text_lines(spark, str(p)).collect()}
     assert got == {f"l{i}": i for i in range(200)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        df = tables.index_text_lines(spark, str(p))
+        parts, got = spark.read.text(str(p)).rdd.getNumPartitions(), {r.value: r._row_index for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts > 5 and got == {f"l{i}": i for i in range(200)}
 
 
 def test_scan_and_conformance(spark, tmp_path):
