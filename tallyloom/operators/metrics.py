@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators import stats
 from tallyloom.operators.windows import running_totals
 
 #: Clusters up to which the bootstrap draws on the driver, where it keeps one index for each.
@@ -203,13 +204,28 @@ def evaluation(df: DataFrame, label: str, score: str, threshold: float | None =
 
 
 def compare_scores(df: DataFrame, score_a: str, score_b: str, threshold: float, by: Sequence[str] = (), tolerance: float = 1e-4) -> DataFrame:
-    """Largest and median absolute difference of two scores, rows that changed, and flipped decisions."""
+    """Largest and median absolute difference of two scores, rows that changed, and flipped decisions.
+
+    The median is read off running counts; rows with a null score count as rows alone.
+    """
     d = F.abs(F.col(score_a) - F.col(score_b))
     flip = (F.col(score_a) >= threshold) != (F.col(score_b) >= threshold)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.max(d).alias("max_difference"), F.percentile(d, F.lit(0.5)).alias("median_difference"),
+    plain = df.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.max(d).alias("max_difference"),
         F.sum((d > tolerance).cast("long")).alias("changed"), F.sum(flip.cast("long")).alias("flipped"),
     )
+    middle = stats.linear_quantiles(df.select(*by, d.alias("__d")), "__d", {"median_difference": 0.5}, by).drop("n")
+    middle = middle.select(*[F.col(c).alias(f"__m_{c}") for c in by], "median_difference")
+    # without groups both sides are one row
+    joined = plain.join(middle, [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in by], "left") if by else plain.crossJoin(middle)
+    return joined.select(*by, "rows", "max_difference", "median_difference", "changed", "flipped")
+
+
+def score_effect(df: DataFrame, *, label: str, score_a: str, score_b: str, threshold: float, cluster: str, weights: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """One row: what a change of scores does to scores and decisions, and to the EER with its paired interval."""
+    change = paired_bootstrap(df, label=label, score_a=score_a, score_b=score_b, cluster=cluster, weights=weights)
+    renamed = change.withColumnsRenamed({"difference": "eer_difference", "low": "eer_low", "high": "eer_high"})
+    return compare_scores(df, score_a, score_b, threshold, tolerance=tolerance).crossJoin(renamed)  # single rows
 
 
 def bce_loss(logit: Column, label: Column) -> Column:

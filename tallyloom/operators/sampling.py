@@ -47,11 +47,19 @@ def allocate_counts(total: int, ratios: Mapping[str, float] = RATIOS) -> dict[st
 def split_entities(entities: DataFrame, seed: int, *, entity_col: str = "entity", stratum_col: str = "stratum", ratios: Mapping[str, float] = RATIOS) -> DataFrame:
     """``(entity, stratum, split)``: each stratum's entities in stable order, cut by its allocation.
 
-    Allocations are a scalar per stratum (strata are few); entities never leave the executors.
+    Allocations are a scalar per stratum (strata are few); entities never leave the executors.  Ranks come from buckets
+    of the key, so no task sorts a stratum.
     """
-    key = keys.entity_key(seed, F.col(stratum_col), F.col(entity_col))
-    w = Window.partitionBy(stratum_col)
-    ranked = entities.withColumns({"__rn": F.row_number().over(w.orderBy(key, entity_col)), "__n": F.count("*").over(w)})
+    keyed = entities.withColumn("__key", keys.entity_key(seed, F.col(stratum_col), F.col(entity_col)))
+    buckets = bucket_count(entities.count())
+    keyed = keyed.withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))))
+    sizes = keyed.groupBy(F.col(stratum_col).alias("__s"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__size"))
+    w = Window.partitionBy("__s")
+    upto = w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__s", "__b", F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"), F.sum("__size").over(w).alias("__n"))
+    placed = keyed.join(sizes, F.col(stratum_col).eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    inside = F.row_number().over(Window.partitionBy(stratum_col, "__bucket").orderBy("__key", entity_col))
+    ranked = placed.withColumn("__rn", F.col("__before") + inside)
     names, n = list(ratios), F.col("__n")
     exact = {k: n * F.lit(float(r)) for k, r in ratios.items()}
     floors = {k: F.floor(v).cast("long") for k, v in exact.items()}

@@ -40,7 +40,7 @@ def profile(df: DataFrame, *, id_col: str, entity_col: str, category_col: str, c
 
 def rows_per_entity(df: DataFrame, entity_col: str) -> DataFrame:
     """Minimum, median (mean of the middle two) and maximum of the rows of an entity; zeros for no rows."""
-    counts = df.groupBy(entity_col).agg(F.count("*").alias("n"))
+    counts = df.groupBy(entity_col).agg(F.count("*").alias("n"))  # row counts repeat, so their distinct values are few
     zero = lambda c: F.coalesce(c, F.lit(0))
     return counts.agg(
         zero(F.min("n")).alias("min_rows"), F.coalesce(exact_quantile("n", 0.5), F.lit(0.0)).alias("median_rows"),
@@ -67,6 +67,11 @@ def linear_quantiles(df: DataFrame, col: str, ps: Mapping[str, float], by: Seque
 
     The two order statistics next to ``p (n - 1)`` are read off running counts, so no task holds a group.
     """
+    return _ranked(df, col, by).groupBy(*by).agg(*_at_places(col, ps), F.max("n_total").alias("n"))
+
+
+def _at_places(col: str, ps: Mapping[str, float]) -> list[Column]:
+    """Aggregates over distinct values with running counts: the interpolated quantile for each name of ``ps``."""
     first, total = F.col("n_upto") - F.col("n"), F.col("n_total")
     at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("n_upto")), F.col(col)))
     out = []
@@ -75,7 +80,7 @@ def linear_quantiles(df: DataFrame, col: str, ps: Mapping[str, float], by: Seque
         low, high = F.floor(place), F.ceil(place)
         after, before = F.max(place - low), F.max(high - place)
         out.append(F.when(after == 0, at(low)).otherwise(before * at(low) + after * at(high)).alias(name))
-    return _ranked(df, col, by).groupBy(*by).agg(*out, F.max(total).alias("n"))
+    return out
 
 
 def nearest_rank(df: DataFrame, col: str, p: float, by: Sequence[str] = ()) -> DataFrame:
@@ -137,20 +142,30 @@ def against_reference(counts: DataFrame, reference: Mapping[str, int], total: st
 def numeric_summaries(df: DataFrame, measures: Sequence[str], flags: Sequence[str], groupings: Sequence[Sequence[str]]) -> DataFrame:
     """Count, minimum, median, mean, 95th percentile and maximum of each measure and counts of each flag.
 
-    All groupings come from one scan by GROUPING SETS; columns outside a row's grouping are null, and
-    ``grouping`` tells null values from absent columns.
+    All groupings come from one pass by GROUPING SETS; columns outside a row's grouping are null, and
+    ``grouping`` tells null values from absent columns.  Quantiles are read off running counts of the distinct values,
+    a pass for each measure, so no buffer holds a group's values.
     """
     columns = list(dict.fromkeys(c for g in groupings for c in g))
     sets = [[F.col(c) for c in g] for g in groupings]
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for m in measures:
-        aggregates += [
-            F.min(m).alias(f"{m}_min"), exact_quantile(m, 0.5).alias(f"{m}_median"), F.avg(m).alias(f"{m}_mean"),
-            exact_quantile(m, 0.95).alias(f"{m}_p95"), F.max(m).alias(f"{m}_max"),
-        ]
+        aggregates += [F.min(m).alias(f"{m}_min"), F.avg(m).alias(f"{m}_mean"), F.max(m).alias(f"{m}_max")]
     aggregates += [F.sum(F.col(f).cast("long")).alias(f"{f}_count") for f in flags]
     # the position of a name in the binary grouping mask follows the order of the columns
-    return df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("grouping"), *aggregates)
+    out = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().alias("grouping"), *aggregates)
+    by, order = ["grouping", *columns], [*columns, "grouping", "rows"]
+    for m in measures:
+        values = df.where(F.col(m).isNotNull()).select(*columns, F.col(m).cast("double").alias("__v"))
+        counts = values.groupingSets([[*s, F.col("__v")] for s in sets], *[F.col(c) for c in columns], F.col("__v"))
+        # the value is in every grouping and the mask's last bit
+        counts = counts.agg(F.shiftright(F.grouping_id(), 1).alias("grouping"), F.count("*").alias("n"))
+        places = _at_places("__v", {f"{m}_median": 0.5, f"{m}_p95": 0.95})
+        found = running_totals(counts, by, "__v", ["n"]).groupBy(*[F.col(c).alias(f"__q_{c}") for c in by]).agg(*places)
+        on = [F.col(c).eqNullSafe(F.col(f"__q_{c}")) for c in by]
+        out = out.join(found, on, "left").drop(*[f"__q_{c}" for c in by])
+        order += [f"{m}_{x}" for x in ("min", "median", "mean", "p95", "max")]
+    return out.select(*order, *[f"{f}_count" for f in flags])
 
 
 def duration_stats(df: DataFrame, category_col: str, samples: Column, rate: Column) -> DataFrame:

@@ -86,11 +86,22 @@ def average_rank(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 
 
 def sequence_gaps(df: DataFrame, by: Sequence[str], index_col: str, offset_col: str, length_col: str) -> DataFrame:
-    """Rows whose index isn't the last one plus 1, or whose offset isn't where the last row ended (0 at first)."""
-    w = Window.partitionBy(*by).orderBy(index_col)
-    expect_index = F.coalesce(F.lag(index_col).over(w) + 1, F.lit(0))
-    expect_offset = F.coalesce(F.lag(F.col(offset_col) + F.col(length_col)).over(w), F.lit(0))
-    flagged = df.withColumns({"expected_index": expect_index, "expected_offset": expect_offset})
+    """Rows whose index isn't the last one plus 1, or whose offset isn't where the last row ended (0 at first).
+
+    Rows of equal index go by offset.  Range buckets of the index are looked at apart, the first row of each beside the
+    last row of the bucket before it, so no task holds a group.
+    """
+    df = df.withColumn("__bucket", bucket_of(df, index_col))
+    last = F.struct(F.col(index_col).alias("i"), F.col(offset_col).alias("o"), (F.col(offset_col) + F.col(length_col)).alias("end"))
+    ends = df.groupBy(*by, "__bucket").agg(F.max(last).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*by).orderBy("__bucket"))
+    ends = ends.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bucket").alias("__b"), before.alias("__before"))
+    joined = df.join(ends, [F.col("__bucket") == F.col("__b"), *[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]])
+    w = Window.partitionBy(*by, "__bucket").orderBy(index_col, offset_col)
+    previous = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag(last).over(w))
+    flagged = joined.withColumn("__previous", previous).withColumns({
+        "expected_index": F.coalesce(F.col("__previous.i") + 1, F.lit(0)), "expected_offset": F.coalesce(F.col("__previous.end"), F.lit(0)),
+    }).drop("__bucket", "__b", "__before", "__previous", *[f"__by_{c}" for c in by])
     return flagged.where((F.col(index_col) != F.col("expected_index")) | (F.col(offset_col) != F.col("expected_offset")))
 
 

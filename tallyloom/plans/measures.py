@@ -160,14 +160,17 @@ def cluster_bootstrap_eer(spark, d):
     return _round(out, "eer", "eer_low", "eer_high", "roc_auc", "roc_auc_low", "roc_auc_high")
 
 
-@query("paired_bootstrap", f"""
+PAIRED_SQL = f"""
 WITH ea AS ({W_SQL}, {points_sql(_boot_sql('score'), 'resample')}, {eer_sql('resample')} SELECT * FROM e),
 eb AS ({W_SQL}, {points_sql(_boot_sql('score_b'), 'resample')}, {eer_sql('resample')} SELECT * FROM e),
 oa AS ({BASE}, {eer_sql('g')} SELECT eer FROM e),
 ob AS (WITH s AS ({scored_sql()}), {points_sql(COUNTS.replace('score,', 'score_b AS score,').replace('BY score', 'BY score_b'), 'g')}, {eer_sql('g')} SELECT eer FROM e),
 dd AS (SELECT ea.eer - eb.eer AS d FROM ea JOIN eb USING (resample))
 SELECT round((SELECT eer FROM oa) - (SELECT eer FROM ob), 9) AS difference, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high,
-  round(avg((d < 0)::INT::DOUBLE), 9) AS fraction_a_lower, count(*) AS valid_resamples FROM dd""")
+  round(avg((d < 0)::INT::DOUBLE), 9) AS fraction_a_lower, count(*) AS valid_resamples FROM dd"""
+
+
+@query("paired_bootstrap", PAIRED_SQL)
 def paired_bootstrap(spark, d):
     df = scored(spark, d)
     w = metrics.bootstrap_weights(df, "source", RESAMPLES, BOOT_SEED)
@@ -182,6 +185,18 @@ def score_pair_compare(spark, d):
     return metrics.compare_scores(scored(spark, d), "score", "score_b", 8e6, ["lang"], 1000.0)
 
 
+@query("score_effect", f"""
+SELECT x.*, y.difference AS eer_difference, y.low AS eer_low, y.high AS eer_high, y.fraction_a_lower, y.valid_resamples FROM (
+  WITH s AS ({scored_sql()}) SELECT count(*) AS rows, max(abs(score - score_b)) AS max_difference, quantile_cont(abs(score - score_b), 0.5) AS median_difference,
+    count(*) FILTER (abs(score - score_b) > 1000) AS changed, count(*) FILTER ((score >= 8000000) <> (score_b >= 8000000)) AS flipped FROM s) x
+CROSS JOIN ({PAIRED_SQL}) y""")
+def score_effect(spark, d):
+    df = scored(spark, d)
+    w = metrics.bootstrap_weights(df, "source", RESAMPLES, BOOT_SEED)
+    out = metrics.score_effect(df, label="label", score_a="score", score_b="score_b", threshold=8e6, cluster="source", weights=w, tolerance=1000.0)
+    return _round(out, "eer_difference", "eer_low", "eer_high", "fraction_a_lower")
+
+
 @query("bce_loss", f"""
 WITH s AS (SELECT label, (score - 8000000) / 2000000::DOUBLE AS x FROM ({scored_sql()}))
 SELECT round(avg(greatest(x, 0) - x * label + ln(1 + exp(-abs(x)))), 9) AS loss, round(avg(1 / (1 + exp(-x))), 9) AS mean_score FROM s""")

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -191,3 +192,56 @@ def test_subset_issues(spark):
     assert run(good + [("dev", "a", "e1", 0), ("dev", "c", None, 1)]) == {
         ("subset", "duplicate_id"): 1, ("subset:dev/train", "id_in_splits"): 1, ("subset:dev/train", "entity_in_splits"): 1}
     assert run([]) == {("subset", "not_balanced"): 2}
+
+
+def test_gaps_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BUCKET_ROWS", 9)
+    rng = random.Random(11)
+    rows = []
+    for g in ("a", "b", None):
+        at = 0
+        for i in range(rng.randrange(60, 120)):
+            n = rng.randrange(1, 9)
+            if rng.random() < 0.9:
+                rows.append((g, i, at + (rng.random() < 0.1), n))
+            at += n
+    want, last = set(), {}
+    for g, i, at, n in rows:  # in order of the index within each group
+        index, offset = last.get(g, (-1, 0))
+        if (i, at) != (index + 1, offset):
+            want.add((g, i, index + 1, offset))
+        last[g] = (i, at + n)
+    rng.shuffle(rows)
+    found = windows.sequence_gaps(spark.createDataFrame(rows, "g string, i long, o long, n long"), ["g"], "i", "o", "n")
+    assert {(r.g, r.i, r.expected_index, r.expected_offset) for r in found.collect()} == want and len(want) > 20
+    assert found.columns == ["g", "i", "o", "n", "expected_index", "expected_offset"]
+
+
+def test_splits_follow_the_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BUCKET_ROWS", 5)
+    rows = [(f"e{i}", "s" if i % 3 else None) for i in range(200)]
+    out = sampling.split_entities(spark.createDataFrame(rows, "entity string, stratum string"), 7)
+    got = {(r.stratum, r.entity): r.split for r in out.collect()}
+    for stratum in ("s", None):
+        parts = ["7", *([stratum] if stratum else [])]
+        names = sorted((e for e, s in rows if s == stratum), key=lambda e: hashlib.sha256("\0".join([*parts, e]).encode()).hexdigest())
+        sizes = sampling.allocate_counts(len(names))
+        want = [split for split, n in sizes.items() for _ in range(n)]
+        assert [got[stratum, e] for e in names] == want
+
+
+def test_summaries_by_grouping_sets(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BUCKET_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice("xy"), rng.choice(["u", "v", None]), rng.choice([None, float(rng.randrange(30))]), rng.random(), rng.random() < 0.3) for _ in range(200)]
+    df = spark.createDataFrame([*rows, ("z", "u", None, 0.5, False)], "p string, k string, m double, w double, f boolean")
+    out = stats.numeric_summaries(df, ["m", "w"], ["f"], [["p"], ["p", "k"]]).collect()
+    rows.append(("z", "u", None, 0.5, False))
+    assert len(out) == len({r[0] for r in rows}) + len({r[:2] for r in rows})
+    for r in out:
+        held = [x for x in rows if x[0] == r.p and (r.grouping == 1 or x[1] == r.k)]
+        assert r.grouping in (0, 1) and r.rows == len(held) and r.f_count == sum(x[4] for x in held)
+        for name, at in (("m", 2), ("w", 3)):
+            xs = [x[at] for x in held if x[at] is not None]
+            got = [r[f"{name}_{s}"] for s in ("min", "median", "mean", "p95", "max")]
+            assert got == (pytest.approx([min(xs), np.median(xs), np.mean(xs), np.quantile(xs, 0.95), max(xs)]) if xs else [None] * 5)
