@@ -7,9 +7,11 @@ nor the driver ever holds all scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,21 +122,32 @@ def per_category_eer(df: DataFrame, *, label: str, score: str, category: str, ne
 def bootstrap_weights(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:
     """``(resample, cluster, m)``: how often each resample draws each cluster.
 
-    Clusters in sorted order are drawn with replacement by NumPy's default generator on the driver, n draws of
-    as many as there are clusters; over ``MAX_CLUSTERS`` clusters it refuses (use ``poisson_weights``).
+    Clusters in sorted order are drawn with replacement by NumPy's default generator, n draws of as many as there are
+    clusters.  The driver runs the generator for its state before each resample; tasks draw again from there, so the
+    rows of resamples are made on executors.  Over ``MAX_CLUSTERS`` clusters it refuses (use ``poisson_weights``).
     """
-    import pandas as pd
-
     names = [r[0] for r in df.select(F.col(cluster).cast("string")).distinct().limit(MAX_CLUSTERS + 1).collect()]
     if len(names) > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters; use poisson_weights")
     names.sort()
-    rng, parts = np.random.default_rng(seed), []
+    size, rng, starts = len(names), np.random.default_rng(seed), []
     for r in range(n):
-        m = np.bincount(rng.integers(0, len(names), size=len(names)), minlength=len(names))
-        at = np.flatnonzero(m)
-        parts.append(pd.DataFrame({"resample": r, "cluster": [names[i] for i in at], "m": m[at]}))
-    return df.sparkSession.createDataFrame(pd.concat(parts), "resample long, cluster string, m long")
+        starts.append((r, json.dumps(rng.bit_generator.state)))
+        rng.integers(0, size, size=size) if size else None
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for resample, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.random.default_rng()
+                own.bit_generator.state = json.loads(state)
+                m = np.bincount(own.integers(0, size, size=size), minlength=size) if size else np.zeros(0, int)
+                at = np.flatnonzero(m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), resample)), pa.array(at), pa.array(m[at])], ["resample", "at", "m"])
+
+    spark = df.sparkSession
+    rows = spark.createDataFrame(starts, "resample long, state string").mapInArrow(drawn, "resample long, at long, m long")
+    named = spark.createDataFrame(list(enumerate(names)), "at long, cluster string")
+    return rows.join(named, "at").select("resample", "cluster", "m")
 
 
 def poisson_weights(df: DataFrame, cluster: str, n: int, seed: int) -> DataFrame:

@@ -55,10 +55,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def _stored(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system as Spark resolves them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without goes to the store that Spark would take, not always the local disk."""
+    p, fs = _stored(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that the application wrote to the shared folder; results not yet written elsewhere are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    p, fs = _stored(spark, _root(spark))
+    fs.delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -25,3 +25,15 @@ def test_package_is_shipped_once(spark):
     n = len(spark.sparkContext._python_includes)
     session.ship(spark)
     assert len(spark.sparkContext._python_includes) == n
+
+
+def test_paths_resolve_as_in_spark(spark):
+    assert session.qualified(spark, "/a/b c") == "file:/a/b c" and session.qualified(spark, "file:///a/b") == "file:/a/b"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://held/")
+    conf.set("fs.viewfs.mounttable.held.link./d", "file:///tmp")
+    try:
+        assert session.qualified(spark, "/d/x") == "viewfs://held/d/x"
+    finally:
+        conf.set("fs.defaultFS", before)
