@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import broadcast_if_small, materialize, scratch_path, values
+from tallyloom.session import qualified
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -114,7 +115,7 @@ def parse(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a path and the path in it; plain paths are local."""
+    """The store of a path and the path in it; paths without a scheme are local, so writers qualify theirs first."""
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
     if path.startswith("file:"):
@@ -204,7 +205,11 @@ def write_bundles(
     pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     min_revisit_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES,
 ) -> DataFrame:
-    """Writes a record per row to bundles in ``folder`` and returns the written index."""
+    """Writes a record per row to bundles in ``folder`` and returns the written index.
+
+    A folder without a scheme is in the store that Spark takes for it, as the index is.
+    """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
@@ -253,7 +258,10 @@ def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fetch(folder: str, bundle: str, frame: int, at: int, length: int) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, by its index row: reads the seek table and one frame."""
+    """Headers and block of one record, by its index row: reads the seek table and one frame.
+
+    Needs no session, so a folder without a scheme is on the local disk; ``session.qualified`` names others.
+    """
     fs, root = file_system(folder)
     with fs.open_input_file(f"{root}/{bundle}") as f:
         start, packed, whole = read_seek_table(f, f.size())[frame]

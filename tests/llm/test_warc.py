@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 
 import pytest
 import zstandard
@@ -92,3 +93,18 @@ def test_changed_payload_is_noticed(spark, tmp_path):
         f.write_bytes(packed + warc.seek_table([(len(packed), len(raw))]))
     with pytest.raises(Exception, match="differs from its digest"):
         warc.read_bundles(spark, str(folder)).collect()
+
+
+def test_plain_folders_go_where_spark_puts_the_index(spark, tmp_path):
+    held = str(tmp_path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    pages = spark.createDataFrame(ROWS[:2], "page_id long, url string, html string")
+    conf.set("fs.defaultFS", "viewfs://elsewhere/")
+    conf.set("fs.viewfs.mounttable.elsewhere.link./d", f"file://{held}")
+    try:  # a store that the writers can't open is an error, never bundles on an executor's own disk
+        with pytest.raises(Exception, match="hdfs|viewfs"):
+            warc.write_bundles(pages, "/d/w")
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert not os.path.exists("/d") and not os.listdir(held)
